@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import kept
-from .words import segment
+from .shared import kept, small_batches
+from .words import ROW_BITS, segment
 
 BITS = 128
 BUDGET = 22
@@ -41,9 +41,8 @@ def signatures(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     for w in segment(texts):
         if not len(w.hash):
             continue
-        rows = w.hi - w.lo
-        shift = np.uint64(64 - max(1, int(rows).bit_length()))
-        keep = np.uint64(64) - shift
+        keep = np.uint64(ROW_BITS)  # the same for every piece: a signature mustn't depend on the rows beside its own
+        shift = np.uint64(64) - keep
         key = np.sort((w.row.astype(np.uint64) << shift) | (w.hash >> keep))
         key = key[np.r_[True, key[1:] != key[:-1]]]
         row = (key >> shift).astype(np.int64)
@@ -252,6 +251,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """(doc_id, kept_id): every document of each group of two or more, with the group's least doc_id, which stays."""
+    small_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = kept(base.filter("doc_id is not null").mapInArrow(_sign, SIGNATURE), "signatures")
     reps = kept(signed.groupBy("s0", "s1").agg(F.min("doc_id").alias("rep")), "reps").select("rep", "s0", "s1")
@@ -266,5 +266,5 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """docs without the documents of a group that aren't its least doc_id; all rows of a kept doc_id stay."""
-    gone = near_duplicates(docs, **options).filter("doc_id != kept_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, **options).filter("doc_id != kept_id").select(F.col("doc_id").alias("__sw_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("__sw_gone"), "left_anti")

@@ -21,6 +21,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts by size rather than by 10,000 rows, so that Python workers stay small; a session's own setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(name)).rstrip("bB")) in (-1, (1 << 31) - 1, 256 << 20, 64 << 20):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/stackweave/{name}-{uuid.uuid4().hex}"
@@ -33,11 +43,11 @@ def numbered(df: DataFrame, group: Column, order: list[Column], amount: Column,
 
     chunk must not decrease along the order.  Sums of chunks are added up first, so that no task holds a whole group.
     """
-    df = df.withColumns({"_g": group, "_c": chunk, "_a": amount})
-    per_chunk = df.groupBy("_g", "_c").agg(F.sum("_a").alias("_s"))
-    before = Window.partitionBy("_g").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    per_chunk = per_chunk.select(F.col("_g").alias("_g2"), F.col("_c").alias("_c2"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("_g", "_c").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    inner = df.withColumn("_in", F.coalesce(F.sum("_a").over(within), F.lit(0)))
-    joined = inner.join(per_chunk, F.col("_g").eqNullSafe(F.col("_g2")) & F.col("_c").eqNullSafe(F.col("_c2")))
-    return joined.withColumn(name, F.col("_before") + F.col("_in")).drop("_g", "_c", "_a", "_g2", "_c2", "_before", "_in")
+    df = df.withColumns({"__sw_g": group, "__sw_c": chunk, "__sw_a": amount})
+    per_chunk = df.groupBy("__sw_g", "__sw_c").agg(F.sum("__sw_a").alias("__sw_s"))
+    before = Window.partitionBy("__sw_g").orderBy("__sw_c").rowsBetween(Window.unboundedPreceding, -1)
+    per_chunk = per_chunk.select(F.col("__sw_g").alias("__sw_g2"), F.col("__sw_c").alias("__sw_c2"), F.coalesce(F.sum("__sw_s").over(before), F.lit(0)).alias("__sw_before"))
+    within = Window.partitionBy("__sw_g", "__sw_c").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inner = df.withColumn("__sw_in", F.coalesce(F.sum("__sw_a").over(within), F.lit(0)))
+    joined = inner.join(per_chunk, F.col("__sw_g").eqNullSafe(F.col("__sw_g2")) & F.col("__sw_c").eqNullSafe(F.col("__sw_c2")))
+    return joined.withColumn(name, F.col("__sw_before") + F.col("__sw_in")).drop("__sw_g", "__sw_c", "__sw_a", "__sw_g2", "__sw_c2", "__sw_before", "__sw_in")

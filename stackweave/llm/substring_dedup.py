@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import kept, shared_dir
+from .shared import kept, shared_dir, small_batches
 from .suffix_dedup import merge_spans
 from .words import segment
 
@@ -53,6 +53,7 @@ class FingerprintIndex:
     """The runs of a log-structured fingerprint index in the shared folder."""
 
     def __init__(self, spark: SparkSession, window: int = WINDOW, skip: int = SKIP, fan: int = FAN, buckets: int | None = None):
+        small_batches(spark)
         self.spark, self.window, self.skip, self.fan = spark, window, skip, fan
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.folder = f"{shared_dir(spark)}/stackweave/index-{uuid.uuid4().hex}"

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 2 << 20
+#: A piece has fewer rows than 2 ** ROW_BITS.
+ROW_BITS = 16
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _GRAM = 0xD6E8FEB86659FD93 | 1
@@ -118,7 +120,7 @@ def segment(column: pa.Array | pa.ChunkedArray, chunk_bytes: int = CHUNK_BYTES)
     buf, offsets = text_buffers(column)
     lo, n = 0, len(offsets) - 1
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + chunk_bytes, "right")) - 1)
+        hi = min(max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + chunk_bytes, "right")) - 1), lo + (1 << ROW_BITS) - 1)
         yield _segment(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lo, hi)
         lo = hi
 

@@ -175,3 +175,13 @@ def test_components(spark):
     got = {r.node: r.root for r in near_dedup.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     want = groups(edges, {i for e in edges for i in e})
     assert got == {i: r for i, r in want.items() if i != r}
+
+
+def test_signatures_do_not_depend_on_neighbours():
+    import pyarrow as pa
+
+    texts = [r[1] for r in corpus(60)] + [None, ""]
+    together, _ = near_dedup.signatures(pa.array(texts * 9))
+    for i, t in enumerate(texts):
+        alone, has = near_dedup.signatures(pa.array([t]))
+        assert (alone[0] == together[i]).all() and has[0] == bool(t)
