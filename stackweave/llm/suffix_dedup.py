@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import small_batches
 from .words import segment
 
 MIN_WORDS = 50
@@ -128,7 +129,7 @@ def merge_runs(runs: list[tuple[list[tuple], list[int]]]) -> tuple[list[int], li
     while k < max(1, len(runs)):
         k *= 2
     n = len(runs)
-    keys: list[tuple | None] = [r[0][0] if r[0] else None for r in runs] + [None] * (k - n)
+    keys: list[tuple | None] = [r[0][0] if len(r[0]) else None for r in runs] + [None] * (k - n)
     place, common = [0] * k, [0] * k
     loser, out_run, out_at, out_lcp = [0] * k, [], [], []
 
@@ -175,6 +176,22 @@ def merge_runs(runs: list[tuple[list[tuple], list[int]]]) -> tuple[list[int], li
     return out_run, out_at, out_lcp
 
 
+class _Rows:
+    """A run's rows as tuples, made a block at a time while the merge walks through them."""
+
+    def __init__(self, gram: np.ndarray, words: np.ndarray):
+        self.gram, self.words, self.lo, self.block = gram, words, 0, []
+
+    def __len__(self) -> int:
+        return len(self.gram)
+
+    def __getitem__(self, i: int) -> tuple:
+        if not self.lo <= i < self.lo + len(self.block):
+            self.lo = i
+            self.block = [(g, *w) for g, w in zip(self.gram[i : i + 128].tolist(), self.words[i : i + 128].tolist())]
+        return self.block[i - self.lo]
+
+
 def _merge(gram: int, min_words: int):
     width = min_words - gram
 
@@ -191,7 +208,7 @@ def _merge(gram: int, min_words: int):
             sym = np.take_along_axis(sym, last, 0)
             g[lcp == 0] = np.frombuffer(cols["gram"][i], np.uint64)
             g = g[np.maximum.accumulate(np.where(lcp == 0, np.arange(n), 0))]
-            runs.append((list(map(tuple, np.concatenate([g[:, None], sym.astype(np.uint64)], 1).tolist())), lcp.tolist()))
+            runs.append((_Rows(g, sym), lcp.tolist()))
             lefs.append(np.frombuffer(cols["left"][i], np.uint32).reshape(n, width))
             nls.append(np.frombuffer(cols["n_left"][i], np.uint8))
             docs.append(np.frombuffer(cols["doc_id"][i], np.int64))
@@ -254,6 +271,7 @@ def merge_spans(found: DataFrame) -> DataFrame:
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
+    small_batches(docs.sparkSession)
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     anchors = base.mapInArrow(_anchors(gram, min_words - gram + 1), "g long, doc_id long, at int")
     twice = anchors.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("g"))).filter("n > 1")

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 #: A piece has fewer rows than 2 ** ROW_BITS.
 ROW_BITS = 16
 
@@ -29,7 +29,7 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     if base not in _POWERS or len(_POWERS[base][0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, CHUNK_BYTES + 1)
         both = []
         for b in (base, pow(base, -1, 1 << 64)):
             a = np.full(size, b, np.uint64)
