@@ -29,7 +29,7 @@ def query(sql: str | None = None):
     def add(f: Callable[[Lens], DataFrame]):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Lens(spark, sf_dir))
         if sql:
-            ORACLES[f.__name__] = oracle(sql)
+            ORACLES[f.__name__] = oracle(sql.replace("count_if(", "count(*) filter (where "))
         return f
 
     return add
@@ -224,10 +224,10 @@ def q_distinct_dependencies(t):
     return E.distinct_dependencies(t.evidence, [*TIE, "technology_id"]).select("repo_id", "package_name", "source_path", "scope", "evidence_type")
 
 
-@query("select repo_id, package_name, source_path, technology_id, l_shipdate from evidence where evidence_type = 'import' qualify row_number() over (partition by repo_id, package_name, source_path, technology_id order by l_shipdate desc, l_orderkey desc, l_linenumber desc) = 1")
+@query("select repo_id, package_name, source_path, technology_id, strftime(l_shipdate, '%Y-%m-%d') as shipped from evidence where evidence_type = 'import' qualify row_number() over (partition by repo_id, package_name, source_path, technology_id order by l_shipdate desc, l_orderkey desc, l_linenumber desc) = 1")
 def q_last_wins(t):
     rows = E.last_wins(t.evidence.filter("evidence_type = 'import'"), ["repo_id", "package_name", "source_path", "technology_id"], ["l_shipdate", "l_orderkey", "l_linenumber"])
-    return rows.select("repo_id", "package_name", "source_path", "technology_id", "l_shipdate")
+    return rows.select("repo_id", "package_name", "source_path", "technology_id", F.date_format("l_shipdate", "yyyy-MM-dd").alias("shipped"))
 
 
 @query("with k as (select repo_id, primary_segment, md5(cast(repo_id as varchar) || '-s1') as h from decisions where passed_major), r as (select *, row_number() over (partition by primary_segment order by h, repo_id) as turn from k) select repo_id, primary_segment, cast(turn as int) as turn from r order by turn, primary_segment limit 60")
@@ -485,10 +485,10 @@ def q_readme_edges(t):
     return E.readme_edges(contexts, aliases, t.edges)
 
 
-@query(f"with {RULES}, {NAMES}, {LONGEST} select e.package_name, l.technology_id, count(*) as n from evidence e left join longest l on e.package_name = l.package_name group by 1, 2")
+@query(f"with {RULES}, {NAMES}, {LONGEST} select e.package_name, coalesce(l.technology_id, -1) as technology_id, count(*) as n from evidence e left join longest l on e.package_name = l.package_name group by 1, 2")
 def q_rebind(t):
     bound = R.longest_prefix(t.evidence.select("package_name"), _rules(t)).select("package_name", "technology_id", F.lit("package_prefix").alias("match_method"))
-    return E.rebind(t.evidence, bound).groupBy("package_name", "technology_id").agg(F.count(F.lit(1)).alias("n"))
+    return E.rebind(t.evidence, bound).groupBy("package_name", F.coalesce("technology_id", F.lit(-1)).alias("technology_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # Snapshots and benchmark
@@ -583,10 +583,10 @@ def q_text_functions(t):
     return t.part.select("p_partkey", X.slugify(F.concat_ws(" ", "p_type", F.concat("p_name", F.lit("!")))).alias("slug"), F.translate(X.segment_key(F.col("p_brand")), "#", "_").alias("brand"), X.format_percent(F.col("p_size") / F.lit(50.0)).alias("pct"))
 
 
-@query("select o_orderkey, make_date(year(o_orderdate - interval 5 month), month(date_trunc('month', o_orderdate) - interval 5 month), least(day(o_orderdate), 28)) as cutoff from orders where month(o_orderdate) <> 7 or day(o_orderdate) < 31")
+@query("select o_orderkey, make_date(year(o_orderdate - interval 5 month), month(date_trunc('month', o_orderdate) - interval 5 month), least(day(o_orderdate), 28))::varchar as cutoff from orders where month(o_orderdate) <> 7 or day(o_orderdate) < 31")
 def q_freshness_cutoff(t):
     d = F.col("o_orderdate")
-    return t.orders.filter((F.month(d) != 7) | (F.dayofmonth(d) < 31)).select("o_orderkey", S.freshness_cutoff(d.cast("date"), 5).alias("cutoff"))
+    return t.orders.filter((F.month(d) != 7) | (F.dayofmonth(d) < 31)).select("o_orderkey", S.freshness_cutoff(d.cast("date"), 5).cast("string").alias("cutoff"))
 
 
 @query("with f as (select doc_id % 100 as repo_id, unnest(string_split(text, chr(10))) as line from documents), l as (select repo_id, trim(line) as line from f) select repo_id, lower(split_part(regexp_extract(line, '^[^;\\[]*'), ' ', 1)) as package_name, count(*) as n from l where line <> '' and line not like '#%' and line not like '-%' and not regexp_matches(line, '[<>=!~\"'';\\[]') and not regexp_matches(line, '[^\\x00-\\x7f]') group by 1, 2")
@@ -648,14 +648,14 @@ def q_stream_incremental(t):
     return committed(t.spark, f"{where}/out", "decisions", "repo_id long, score long, errors long")
 
 
-@query("select user_id as repo_id, event_type, max(ts) as ts from events group by 1, 2")
+@query("select user_id as repo_id, event_type, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') as last from events group by 1, 2")
 def q_cache_upsert(t):
     from .streaming.incremental import upsert_cache
 
     e = t.events.select(F.col("user_id").alias("repo_id"), "event_type", "ts")
     early = S.first_of(e.filter("ts < timestamp '2024-01-15'"), ["repo_id", "event_type"], [F.col("ts").desc()])
     late = S.first_of(e.filter("ts >= timestamp '2024-01-15'"), ["repo_id", "event_type"], [F.col("ts").desc()])
-    return upsert_cache(early, late, ("repo_id", "event_type")).select("repo_id", "event_type", "ts")
+    return upsert_cache(early, late, ("repo_id", "event_type")).select("repo_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last"))
 
 
 @query("select distinct stage_id, seconds, item_count, notes, attempt_id from (select event_type as stage_id, round(value, 6) as seconds, user_id as item_count, 'n' as notes, cast(user_id % 4 as varchar) as attempt_id from events)")
