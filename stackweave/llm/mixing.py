@@ -18,13 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import numbered
+from .shared import kept, numbered
 
 UNIT = 1_000_000
 #: Shares of the hot source and of the rest.
 WEIGHTS = {"src0": 4}
 SEED = "mix-1"
-CHUNK = 1 << 14
+CHUNK_BITS = 14
+BROADCAST_SOURCES = 10_000
 
 
 def offset(source: Column, seed: str = SEED) -> Column:
@@ -50,15 +51,18 @@ def rates(docs: DataFrame, weights: dict[str, int] = WEIGHTS, epochs: int = 1) -
 
 def mix(docs: DataFrame, weights: dict[str, int] = WEIGHTS, epochs: int = 1, seed: str = SEED) -> DataFrame:
     """docs' rows, each as often as it is drawn, with its copy's number in `__sw_copy`."""
-    r = rates(docs, weights, epochs)
+    r = kept(rates(docs, weights, epochs), "rates")
+    if r.count() <= BROADCAST_SOURCES:
+        r = F.broadcast(r)  # else Spark joins by source, and splits the hot ones
     source, doc = F.col("source").cast("string"), F.col("doc_id").cast("long")
     rated = docs.join(r, source.eqNullSafe(F.col("__sw_source"))).filter("__sw_rate > 0")
-    ties = [F.xxhash64(F.col(c).cast("string") if t.startswith("map") else F.col(c)) for c, t in docs.dtypes if c not in ("doc_id", "source")]
-    summed = numbered(rated, F.col("__sw_source"), [doc.asc_nulls_first(), *ties], F.col("__sw_rate"), F.floor(doc / F.lit(CHUNK)), "__sw_sum")
-    start = F.col("__sw_sum") + offset(F.col("__sw_source"), seed)
-    copies = (F.floor((start + F.col("__sw_rate")) / F.lit(UNIT)) - F.floor(start / F.lit(UNIT))).cast("int")
-    drawn = summed.withColumn("__sw_copies", copies).filter("__sw_copies > 0")
-    return drawn.withColumn("__sw_copy", F.explode(F.sequence(F.lit(1), F.col("__sw_copies")))).drop("__sw_source", "__sw_rate", "__sw_sum", "__sw_copies")
+    rest = [F.col(c).cast("string") if t.startswith("map") else F.col(c) for c, t in docs.dtypes if c not in ("doc_id", "source")]
+    ties = [F.xxhash64(*rest)] if rest else []
+    summed = numbered(rated, F.col("__sw_source"), [doc.asc_nulls_first(), *ties], F.col("__sw_rate"), F.shiftright(doc, CHUNK_BITS), "__sw_sum")
+    started = summed.withColumn("__sw_start", F.col("__sw_sum") + offset(F.col("__sw_source"), seed))
+    copies = F.expr(f"cast((__sw_start + __sw_rate) div {UNIT} - __sw_start div {UNIT} as int)")
+    drawn = started.withColumn("__sw_copies", copies).filter("__sw_copies > 0")
+    return drawn.withColumn("__sw_copy", F.explode(F.sequence(F.lit(1), F.col("__sw_copies")))).drop("__sw_source", "__sw_rate", "__sw_sum", "__sw_start", "__sw_copies")
 
 
 SQL = f"""

@@ -27,7 +27,7 @@ from .shared import kept, numbered
 CAPACITY = 2048
 GRID = 8
 STEP = 0.1
-CHUNK = 1 << 14
+CHUNK_BITS = 14
 
 
 def best_configuration(price: np.ndarray, room: int) -> np.ndarray:
@@ -114,13 +114,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, grid: int = GRID) -> DataFra
     spark = docs.sparkSession
     words = F.regexp_count(F.col("text").cast("string"), F.lit(r"\S+")).cast("long")
     light = kept(docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("words")).filter("words > 0"), "lengths")
-    light = light.withColumns({"full": F.floor(F.col("words") / capacity), "rest": F.col("words") % capacity})
-    light = light.withColumn("units", F.ceil(F.col("rest") / grid).cast("int"))
+    light = light.withColumns({"full": F.expr(f"words div {capacity}"), "rest": F.col("words") % capacity})
+    light = light.withColumn("units", F.expr(f"cast((rest + {grid - 1}) div {grid} as int)"))
     demand = np.zeros(-(-capacity // grid), np.int64)
     for units, n in light.filter("units > 0").groupBy("units").count().collect():
         demand[units - 1] = n
     rows, bins = allotment(pack_counts(demand, capacity // grid), grid)
-    chunk = F.floor(F.col("doc_id") / F.lit(CHUNK))
+    chunk = F.shiftright(F.col("doc_id"), CHUNK_BITS)
     order = [F.col("doc_id").asc_nulls_first()]
     ranked = numbered(light.filter("units > 0"), F.col("units"), order, F.lit(1).cast("long"), chunk, "rank")
     table = spark.createDataFrame(rows, "u int, from_ long, to_ long, bin long, k long, start long")
@@ -131,7 +131,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, grid: int = GRID) -> DataFra
         "doc_id",
         F.col("full").cast("int").alias("piece"),
         F.col("rest").alias("n_words"),
-        (F.col("bin") + F.floor(slot / F.col("k"))).alias("bin_id"),
+        F.expr("bin + (rank - from_) div k").alias("bin_id"),
         (F.col("start") + slot % F.col("k") * F.col("units") * grid).alias("bin_offset"),
     )
     fulls = numbered(light.filter("full > 0"), F.lit(0), [*order, F.col("full")], F.col("full"), chunk, "before")

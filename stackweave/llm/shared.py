@@ -41,13 +41,16 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 def numbered(df: DataFrame, group: Column, order: list[Column], amount: Column, chunk: Column, name: str) -> DataFrame:
     """Adds `name`: the sum of the whole-number `amount` over the rows of the group before this one in (chunk, order).
 
-    chunk must not decrease along the order.  Sums of chunks are added up first, so that no task holds a whole group.
+    chunk must not decrease along the order; a null one comes first.  Sums of chunks are added up first, so that no task
+    holds a whole group; rows are shuffled once, as the join has the window's partitioning.
     """
-    df = df.withColumns({"__sw_g": group, "__sw_c": chunk, "__sw_a": amount})
+    # Keys without nulls: a null-safe join would shuffle the rows again.
+    text = group.cast("string")
+    df = df.withColumns({"__sw_g": F.coalesce(F.concat(F.lit("="), text), F.lit("")), "__sw_c": F.coalesce(chunk.cast("long"), F.lit(-(1 << 63)).cast("long")), "__sw_a": amount})
     per_chunk = df.groupBy("__sw_g", "__sw_c").agg(F.sum("__sw_a").alias("__sw_s"))
     before = Window.partitionBy("__sw_g").orderBy("__sw_c").rowsBetween(Window.unboundedPreceding, -1)
-    per_chunk = per_chunk.select(F.col("__sw_g").alias("__sw_g2"), F.col("__sw_c").alias("__sw_c2"), F.coalesce(F.sum("__sw_s").over(before), F.lit(0)).alias("__sw_before"))
+    per_chunk = per_chunk.select("__sw_g", "__sw_c", F.coalesce(F.sum("__sw_s").over(before), F.lit(0)).alias("__sw_before"))
     within = Window.partitionBy("__sw_g", "__sw_c").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     inner = df.withColumn("__sw_in", F.coalesce(F.sum("__sw_a").over(within), F.lit(0)))
-    joined = inner.join(per_chunk, F.col("__sw_g").eqNullSafe(F.col("__sw_g2")) & F.col("__sw_c").eqNullSafe(F.col("__sw_c2")))
-    return joined.withColumn(name, F.col("__sw_before") + F.col("__sw_in")).drop("__sw_g", "__sw_c", "__sw_a", "__sw_g2", "__sw_c2", "__sw_before", "__sw_in")
+    joined = inner.join(per_chunk, ["__sw_g", "__sw_c"])
+    return joined.withColumn(name, F.col("__sw_before") + F.col("__sw_in")).drop("__sw_g", "__sw_c", "__sw_a", "__sw_before", "__sw_in")
