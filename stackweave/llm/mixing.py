@@ -70,8 +70,8 @@ with d as (select doc_id, source, coalesce(length(text), 0) as chars from docume
 s as (select source, sum(chars)::hugeint as chars, (case when source = 'src0' then 4 else 1 end)::hugeint as w from d group by source having sum(chars) > 0),
 r as (select source, (({UNIT}::hugeint * w * (select sum(chars)::hugeint from s)) // ((select sum(w)::hugeint from s) * chars))::bigint as rate,
              ('0x' || substr(md5('{SEED}:' || coalesce(source, '')), 1, 8))::bigint % {UNIT} as start from s),
-n as (select d.doc_id, d.source, r.rate, r.start + r.rate * (row_number() over (partition by d.source order by d.doc_id) - 1) as at
+n as (select d.doc_id, d.source, r.rate, r.start + r.rate * (row_number() over (partition by d.source order by d.doc_id) - 1) as pos
       from d join r on d.source is not distinct from r.source),
-c as (select doc_id, source, ((at + rate) // {UNIT} - at // {UNIT}) as copies from n)
+c as (select doc_id, source, ((pos + rate) // {UNIT} - pos // {UNIT}) as copies from n)
 select doc_id, source, unnest(range(1, copies + 1))::int as "copy" from c where copies > 0
 """
