@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import small_batches
-from .words import segment
+from .words import mix, segment
 
 MIN_WORDS = 50
 GRAM = 25
@@ -106,7 +106,8 @@ def _runs(gram: int, min_words: int, shards: int):
                 sym = word[np.where(idx < end[:, None], idx, none)]
                 idx = here[:, None] - 1 - np.arange(left)[None, :]
                 lef = word[np.where(idx >= begin[:, None], idx, none)]
-                g = w.grams(gram)[here]
+                # Anchors have the least hashes of their windows; mixed anew, they spread evenly over the shards.
+                g = mix(w.grams(gram)[here] ^ np.uint64(0x9E3779B97F4A7C15))
                 parts.append((g, sym, lef, np.minimum(pos, left).astype(np.uint8), ids[w.lo + row].astype(np.int64), pos.astype(np.int32)))
                 size += len(here)
                 if size >= 150_000:
