@@ -16,6 +16,8 @@ from .operators import edges as E
 from .operators import graph as G
 from .operators import parsers as P
 from .operators import resolve as R
+from .plans import discovery as D
+from .plans import jobs as J
 from .plans import reports as Q
 from .plans import snapshots as N
 
@@ -664,3 +666,119 @@ def q_stage_timings(t):
 
     rows = t.events.select(F.col("event_type").alias("stage_id"), F.col("value").alias("seconds"), F.col("user_id").alias("item_count"), F.lit("n").alias("notes"), (F.col("user_id") % 4).cast("string").alias("attempt_id"))
     return merge_timings(rows, rows.filter("seconds > 5"))
+
+
+# Discovery, entities and jobs
+
+
+@query("with p as (select o_custkey as repo_id, o_orderpriority as package_name, 'pkg:' || cast(max(o_orderkey) as varchar) as purl from orders group by 1, 2), e as (select o_custkey as repo_id, o_orderpriority as package_name, count(*) as n from orders where o_orderstatus = 'F' group by 1, 2) select e.repo_id, e.package_name, n, purl from e left join p on e.repo_id = p.repo_id and e.package_name = p.package_name")
+def q_last_purl(t):
+    o = t.orders.select(F.col("o_custkey").alias("repo_id"), F.col("o_orderpriority").alias("package_name"), "o_orderkey", "o_orderstatus")
+    e = o.filter("o_orderstatus = 'F'").groupBy("repo_id", "package_name").agg(F.count(F.lit(1)).alias("n"))
+    return D.with_purl(e, o.withColumn("purl", F.concat(F.lit("pkg:"), F.col("o_orderkey").cast("string"))), ["o_orderkey"])
+
+
+FGRAPH = f"{FAMS}, fe as (select distinct family, repo_id from fam where repo_id in (select repo_id from missing) and family in (select family from fams)), fg as (select a.family as \"left\", b.family as \"right\", count(*) as weight from fe a join fe b on a.repo_id = b.repo_id and a.family < b.family group by all)"
+
+
+@query(f"with {FGRAPH} select * from fg")
+def q_family_graph(t):
+    fams = Q.families(t.evidence, t.decisions, t.edges)
+    return D.family_graph(t.evidence, t.decisions, t.edges, D.retained(fams, 20))
+
+
+@query()
+def q_discovery_report(t):
+    fams = Q.families(t.evidence, t.decisions, t.edges)
+    return D.discovery_report(fams, D.family_graph(t.evidence, t.decisions, t.edges, D.retained(fams, 20)))
+
+
+ENT = "links as (select s_suppkey as technology_id, 'n' || cast(s_nationkey as varchar) as entity_id from supplier), stew as (select repo_id, 'n' || cast(org_id as varchar) as entity_id from repos where repo_id % 3 = 0)"
+
+
+@query(f"with {ENT}, names as (select distinct entity_id from links), a as (select entity_id, count(distinct technology_id) as n from links group by 1), b as (select entity_id, count(distinct repo_id) as n from stew group by 1), c as (select entity_id, count(distinct repo_id) as n from edges join links using (technology_id) group by 1) select names.entity_id, coalesce(a.n, 0) as n_technologies, coalesce(b.n, 0) as n_stewarded, coalesce(c.n, 0) as n_using from names left join a on a.entity_id = names.entity_id left join b on b.entity_id = names.entity_id left join c on c.entity_id = names.entity_id")
+def q_entity_report(t):
+    name = lambda c: F.concat(F.lit("n"), F.col(c).cast("string")).alias("entity_id")
+    ents = t.supplier.groupBy(name("s_nationkey")).agg(F.collect_list("s_suppkey").alias("technology_ids"))
+    return D.entity_report(ents, t.repos.filter("repo_id % 3 = 0").select("repo_id", name("org_id")), t.edges)
+
+
+VENDOR = f"{MISSING}, vterms as (select distinct term from (select unnest(string_split_regex(lower(s_name), '[@/_. -]+')) as term from supplier union all select 'customer-0000000' || cast(n_nationkey % 10 as varchar) from nation) where length(term) >= 4 and term not in ('open', 'tool')), vend as (select repo_id, full_name, stars, string_agg(distinct term, ',' order by term) as terms from missing join vterms on contains(lower(full_name), term) group by all)"
+
+
+def _vendors(t):
+    names = t.supplier.select(F.col("s_name").alias("name"))
+    terms = Q.vendor_terms(names, ("open", "tool")).unionByName(t.nation.select(F.concat(F.lit("customer-0000000"), (F.col("n_nationkey") % 10).cast("string")).alias("term")).distinct())
+    return D.vendor_like(t.repos, t.decisions, t.edges, terms)
+
+
+@query(f"with {VENDOR} select * from vend")
+def q_vendor_like(t):
+    return _vendors(t).withColumn("terms", F.array_join("terms", ","))
+
+
+@query(f"with {VENDOR}, {UNMATCHED}, p as (select {PREFIX('package_name')} as prefix, count(*) as n from unmatched group by 1), x as (select 'prefix' as kind, prefix as name, n * 10 as weight from p union all select 'repo', full_name, stars from vend) select * from x order by weight desc, kind, name limit 25")
+def q_suggested_inputs(t):
+    return D.suggested_inputs(Q.unmatched_prefixes(t.evidence, t.repos), _vendors(t), 25)
+
+
+@query("select repo_id, stars from repos order by case when repo_id % 30 = 0 then 0 else 1 end, stars desc, repo_id limit 70")
+def q_preflight(t):
+    return D.preflight(t.repos, t.repos.filter("repo_id % 30 = 0"), 70).select("repo_id", "stars")
+
+
+@query("with s as (select full_name, 'benchmark' as source from repos where repo_id % 30 = 0 union all select full_name, 'manual' from repos where repo_id % 45 = 0) select lower(full_name) as full_name, string_agg(distinct source, ',' order by source) as sources from s group by 1")
+def q_seeds(t):
+    return D.seeds(benchmark=t.repos.filter("repo_id % 30 = 0"), manual=t.repos.filter("repo_id % 45 = 0"))
+
+
+@query("with w as (select distinct p_partkey, unnest(string_split_regex(lower(p_name || ' ' || p_type), '[^a-z0-9]+')) as family from part) select family, count(*) as overlap from w where length(family) >= 3 group by 1")
+def q_token_overlap(t):
+    return D.token_overlap(t.part.select(F.col("p_partkey").alias("entity_id"), F.concat_ws(" ", "p_name", "p_type").alias("name")))
+
+
+@query("with c as (select repo_id, bool_or(evidence_type = 'manifest') as m, bool_or(evidence_type = 'sbom') as s, bool_or(evidence_type = 'import') as i, bool_or(evidence_type = 'repo_identity') as d, bool_or(evidence_type = 'readme_mention') as r from evidence group by 1) select case when (m or s or i) and r then 'mixed_direct_and_fallback' when m or s or i then 'direct_only' when d and r then 'repo_identity_plus_fallback' when d then 'repo_identity_only' when r then 'readme_only' else 'unmapped' end as profile, count(*) as n from c group by 1")
+def q_context_profiles(t):
+    has = lambda k: F.bool_or(F.col("evidence_type") == k)
+    kinds = ("manifest", "sbom", "import", "repo_identity", "readme_mention")
+    c = t.evidence.groupBy("repo_id").agg(*[has(k).alias(k) for k in kinds])
+    return c.groupBy(D.context_profile(*[F.col(k) for k in kinds]).alias("profile")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("with g as (select repo_id, technology_id % 3 as community, count(distinct technology_id) as overlap from edges group by 1, 2) select community, repo_id, overlap, stars, cast(row_number() over (partition by community order by overlap desc, stars desc, repo_id) as int) as rank from g join repos using (repo_id) qualify rank <= 5")
+def q_exemplars(t):
+    communities = t.technologies.select(F.col("technology_id").alias("node"), (F.col("technology_id") % 3).alias("community"))
+    return D.exemplars(t.edges, communities, t.repos).select("community", "repo_id", "overlap", "stars", "rank")
+
+
+@query(f"with {PAIRS}, b as (select \"left\" as technology_id, \"right\" as neighbour, weight from pairs union all select \"right\", \"left\", weight from pairs) select *, cast(row_number() over (partition by technology_id order by weight desc, neighbour) as int) as rank from b qualify rank <= 5")
+def q_technology_neighbours(t):
+    return D.neighbours(t.edges)
+
+
+@query("with g as (select technology_id, count(distinct repo_id) as n_repos from edges group by 1) select technology_id, n_repos, category_id, cast(row_number() over (partition by category_id order by n_repos desc, technology_id) as int) as rank from g join technologies using (technology_id) qualify rank <= 5")
+def q_category_top(t):
+    return D.category_top(t.edges, t.technologies)
+
+
+@query(f"with {FINALS}, g as (select primary_segment, provider_id, count(distinct e.repo_id) as n_repos from edges e join technologies using (technology_id) join finals f on e.repo_id = f.repo_id where provider_id is not null group by 1, 2) select *, cast(row_number() over (partition by primary_segment order by n_repos desc, provider_id) as int) as rank from g")
+def q_segment_providers(t):
+    return D.segment_adoption(t.edges, t.decisions, t.technologies)
+
+
+@query(f"with {FINALS}, ev as (select e.repo_id, technology_id, evidence_type, confidence, scope, package_name, source_path, null::varchar as match_method from evidence e join finals using (repo_id) where technology_id is not null and l_shipdate < timestamp '1996-01-01 00:00:00'), idn as (select repo_id, repo_id % 10 as technology_id from repos where repo_id % 7 = 0), r as (select * from ev union all select repo_id, (technology_id + 1) % 7, evidence_type, confidence, scope, package_name, source_path, 'derived_provider' from ev where technology_id % 3 = 0 and (technology_id + 1) % 7 <> technology_id union all select repo_id, technology_id, 'repo_identity', 'high', 'unknown', null, null, 'repo_identity' from idn join finals using (repo_id)) select repo_id, technology_id, evidence_type, confidence, scope from r qualify row_number() over (partition by repo_id, technology_id order by {RANKS}, package_name nulls first, source_path nulls first) = 1")
+def q_build_edges(t):
+    p = t.supplier.filter("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("technology_id"), ((F.col("s_suppkey") + 1) % 7).alias("provider_technology_id"))
+    identity = t.repos.filter("repo_id % 7 = 0").select("repo_id", (F.col("repo_id") % 10).alias("technology_id"))
+    return J.build_edges(t.evidence.filter("l_shipdate < timestamp '1996-01-01 00:00:00'"), t.decisions, p, identity).select("repo_id", "technology_id", "evidence_type", "confidence", "scope")
+
+
+@query(f"with {MISSING}, a as (select count(*) as repositories, (select count(*) from finals) as finals from decisions) select a.*, (select count(*) from edges) as edges, (select count(distinct technology_id) from edges) as technologies, (select count(*) from missing) as missing from a")
+def q_snapshot_metrics(t):
+    return J.metrics(t.decisions, t.edges)
+
+
+@query("select repo_id, case when k % 10 = 0 then 'fresh' else 'old' end as state from (select p_partkey as repo_id, p_partkey as k from part)")
+def q_refresh(t):
+    old = t.part.select(F.col("p_partkey").alias("repo_id"), F.lit("old").alias("state"))
+    return J.refresh(old, old.filter("repo_id % 10 = 0").withColumn("state", F.lit("fresh")))
