@@ -12,6 +12,7 @@ from .sources import tables
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> str:
+    """CLI-02..04; the steps of CLI-01 are streaming.incremental and plans.jobs."""
     p = argparse.ArgumentParser(prog="stackweave", description=__doc__)
     sub = p.add_subparsers(dest="command", required=True)
     for name in ("report", "validate", "manifest"):

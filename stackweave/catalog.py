@@ -244,8 +244,18 @@ def q_running_cap(t):
 
 @query("with c as (select provider_id, category_id as label, count(*) as n from technologies where provider_id is not null group by 1, 2) select provider_id, label from c qualify row_number() over (partition by provider_id order by n desc, label) = 1")
 def q_provider_label(t):
-    c = t.technologies.filter("provider_id is not null").groupBy("provider_id", F.col("category_id").alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    return S.first_of(c, ["provider_id"], [F.col("n").desc(), F.col("label")]).select("provider_id", "label")
+    return S.commonest(t.technologies.filter("provider_id is not null").select("provider_id", F.col("category_id").alias("label")), "provider_id", "label")
+
+
+@query("select p_partkey, case when p_size % 2 = 0 then p_brand || ',x' else p_brand || ',' || p_type || ',x' end as kept from part")
+def q_unique_ordered(t):
+    values = F.array("p_brand", F.when(F.col("p_size") % 2 == 0, F.lower("p_brand")).otherwise(F.col("p_type")), F.upper("p_brand"), F.lit("x"), F.lit("X"))
+    return t.part.select("p_partkey", F.array_join(S.unique_ordered(values), ",").alias("kept"))
+
+
+@query(f"with {PAIRS} select * from pairs order by weight desc, \"left\", \"right\" limit 25")
+def q_top_pairs(t):
+    return G.top_pairs(R.pairs(G.bipartite(t.edges)), 25)
 
 
 FAM = f"fam as (select {FAMILY('package_name')} as family, * from evidence where technology_id is null)"

@@ -166,3 +166,15 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     """TOP-06; Spark limits each group before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("rank", rank).filter(F.col("rank") <= n)
+
+
+def unique_ordered(values: Column) -> Column:
+    """WIN-06: the first of the values that are equal without case, in their order."""
+    low = F.transform(values, F.lower)
+    return F.filter(values, lambda v, i: F.array_position(low, F.lower(v)) == i + 1)
+
+
+def commonest(df: DataFrame, key: str, label: str) -> DataFrame:
+    """WIN-09: the most frequent label of each key, ties by label."""
+    counts = df.groupBy(key, label).agg(F.count(F.lit(1)).alias("n"))
+    return first_of(counts, [key], [F.col("n").desc(), F.col(label)]).select(key, label)

@@ -102,7 +102,7 @@ def ai_score(r: Rules) -> Column:
 
 
 def segment_list(r: Rules) -> Column:
-    """CLS-04, WIN-05: segments with a positive score, the best first, ties by precedence."""
+    """CLS-04, WIN-05, ARR-06: segments with a positive score, the best first, ties by precedence."""
     techs = F.array_union(F.array_union("manifest_tech", "sbom_tech"), "import_tech")
     blob, about = F.lower(F.array_join("tree_paths", "\n")), F.lower(F.coalesce("description", F.lit("")))
     scored = []

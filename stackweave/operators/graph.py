@@ -21,6 +21,16 @@ def both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select("left", "right", "weight").unionByName(pairs.select(F.col("right").alias("left"), F.col("left").alias("right"), "weight"))
 
 
+def bipartite(edges: DataFrame) -> DataFrame:
+    """GRA-01: the distinct edges between repositories and technologies; its projections are resolve.pairs by either side."""
+    return edges.select("repo_id", "technology_id").distinct()
+
+
+def top_pairs(pairs: DataFrame, n: int) -> DataFrame:
+    """GRA-10, TOP-13: the n heaviest pairs."""
+    return pairs.orderBy(F.col("weight").desc(), "left", "right").limit(n)
+
+
 def degrees(pairs: DataFrame, nodes: int) -> DataFrame:
     """GRA-03: (node, degree, strength, centrality)."""
     g = both_ways(pairs).groupBy(F.col("left").alias("node")).agg(F.count(F.lit(1)).alias("degree"), F.sum("weight").alias("strength"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import file_name
+from ..functions.stats import file_name, import_paths, manifest_paths
 from ..functions.text import normalize_name, purl_name, requirement_name
 
 ROW = "repo_id long, path string, package_name string, scope string, specifier string"
@@ -60,6 +60,7 @@ def spdx(files: DataFrame) -> DataFrame:
 
 
 def _toml(text: str) -> list[tuple[str, str, str | None]]:
+    """PAR-02."""
     try:
         t = tomllib.loads(text)
     except (tomllib.TOMLDecodeError, TypeError):
@@ -74,6 +75,7 @@ def _toml(text: str) -> list[tuple[str, str, str | None]]:
 
 
 def _cargo(text: str) -> list[tuple[str, str, str | None]]:
+    """PAR-06."""
     try:
         t = tomllib.loads(text)
     except (tomllib.TOMLDecodeError, TypeError):
@@ -83,6 +85,7 @@ def _cargo(text: str) -> list[tuple[str, str, str | None]]:
 
 
 def _go(text: str) -> list[tuple[str, str, str | None]]:
+    """PAR-05."""
     out, inside = [], False
     for line in (x.split("//")[0].strip() for x in (text or "").splitlines()):
         if line.startswith("require ("):
@@ -165,3 +168,26 @@ def repository(items: DataFrame) -> DataFrame:
         F.coalesce("topics", F.array().cast("array<string>")).alias("topics"), F.col("license.spdx_id").alias("license_spdx"), F.coalesce("archived", "isArchived", F.lit(False)).alias("is_archived"),
         F.coalesce("fork", "isFork", F.lit(False)).alias("is_fork"), F.coalesce("pushed_at", "pushedAt").alias("pushed_at"), F.coalesce("default_branch", F.lit("main")).alias("default_branch"),
     )
+
+
+def bounded_imports(trees: DataFrame, sources: DataFrame, extensions: tuple[str, ...] = (".py", ".js", ".ts", ".go", ".rs"), cap: int = 40) -> DataFrame:
+    """PAR-09: imports of at most cap files of each tree (repo_id, tree_paths), the likeliest first; sources: (repo_id, path, text)."""
+    chosen = trees.select("repo_id", F.explode(import_paths(F.col("tree_paths"), extensions, cap=cap)).alias("path"))
+    return imports(sources.join(chosen, ["repo_id", "path"], "left_semi"))
+
+
+def assemble(trees: DataFrame, files: DataFrame, sboms: DataFrame, sources: DataFrame) -> DataFrame:
+    """PAR-12: contexts of trees (repo_id, tree_paths): manifests' paths, and the sorted distinct packages of manifests, SBOMs and imports.
+    Imports are scanned only where there is no manifest (PAR-10)."""
+    found = trees.withColumn("manifest_paths", manifest_paths(F.col("tree_paths")))
+    listed = found.select("repo_id", F.explode("manifest_paths").alias("path"))
+    names = lambda df, c, out: df.groupBy("repo_id").agg(F.array_sort(F.collect_set(c)).alias(out))
+    parts = [
+        names(manifests(files.join(listed, ["repo_id", "path"], "left_semi")), "package_name", "manifest_packages"),
+        names(spdx(sboms), "package_name", "sbom_packages"),
+        names(bounded_imports(found.filter(F.size("manifest_paths") == 0), sources), "name", "imported"),
+    ]
+    for p in parts:
+        found = found.join(p, "repo_id", "left")
+    none = F.array().cast("array<string>")
+    return found.withColumns({c: F.coalesce(c, none) for c in ("manifest_packages", "sbom_packages", "imported")})

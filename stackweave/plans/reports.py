@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.stats import coarse_score, ratio, top_per_group, wilson
-from ..operators.edges import ranked  # noqa: F401
 
 
 def finals(decisions: DataFrame) -> DataFrame:
@@ -244,3 +243,29 @@ def suggestions(fams: DataFrame, known: DataFrame, least: int = 2) -> DataFrame:
     confidence = F.when(ratio(F.col("n_hints"), F.col("n_rows")) >= 0.5, "high").when(F.col("n_hints") > 0, "medium").otherwise("low")
     fresh = fams.join(known.select(F.col("token").alias("family")).distinct(), "family", "left_anti").filter((F.col("n_finals") >= least) & (F.col("penalty") < 0.65))
     return fresh.select("family", "n_finals", category.alias("category_id"), confidence.alias("confidence"))
+
+
+def report_summary(repos: DataFrame, decisions: DataFrame, edges: DataFrame, technologies: DataFrame, n: int = 20) -> dict[str, DataFrame]:
+    """REP-01, JOI-01..03: the funnel, and the n technologies, providers and categories that most finals use."""
+    own = edges.join(finals(decisions).select("repo_id"), "repo_id", "left_semi")
+    named = own.join(technologies, "technology_id", "left")
+    return {
+        "funnel": funnel(decisions),
+        "technologies": top(adoption(own, decisions), "n_repos", "technology_id", n),
+        "providers": top(adoption(named, decisions, "provider_id"), "n_repos", "provider_id", n),
+        "categories": top(adoption(named, decisions, "category_id"), "n_repos", "category_id", n),
+        "languages": top(frequency(repos.join(finals(decisions).select("repo_id"), "repo_id", "left_semi"), F.col("primary_language")), "n", "label", n),
+    }
+
+
+def gap_report(repos: DataFrame, decisions: DataFrame, edges: DataFrame, evidence: DataFrame, n: int = 20) -> dict[str, DataFrame]:
+    """REP-02: finals without an edge by reason, their queue, and the commonest packages and AI prefixes without a technology."""
+    gaps = gap_reasons(decisions, edges, evidence)
+    prefixes = unmatched_prefixes(evidence, repos)
+    return {
+        "reasons": gaps.groupBy("reason").agg(F.count(F.lit(1)).alias("n_repos")),
+        "queue": gaps.orderBy((F.col("reason") == "unmapped_dependency_evidence").desc(), F.col("unmatched").desc(), F.col("stars").desc(), "full_name").limit(n),
+        "packages": top(unmatched_packages(evidence, repos).groupBy("package_name").agg(F.count(F.lit(1)).alias("n")), "n", "package_name", n),
+        "prefixes": top(prefixes, "n", "prefix", n),
+        "ai_prefixes": top(prefixes.filter("is_ai"), "n", "prefix", n),
+    }

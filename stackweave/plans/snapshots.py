@@ -61,7 +61,7 @@ def overlay(base: DataFrame, over: DataFrame, key: str) -> DataFrame:
 
 
 def channels(*found: tuple[str, DataFrame]) -> DataFrame:
-    """SET-02: distinct repositories of all discovery channels with the sorted channels that found them."""
+    """SET-02, TOP-07: distinct repositories of all discovery channels with the sorted channels that found them."""
     out = None
     for name, df in found:
         one = df.select("full_name", F.lit(name).alias("source"))

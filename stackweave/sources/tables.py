@@ -52,7 +52,7 @@ def row_count(spark: SparkSession, path: str) -> int:
 
 
 def flatten_contexts(contexts: DataFrame) -> DataFrame:
-    """SET-01: one row for each dependency of the three arrays."""
+    """SET-01, ARR-04: one row for each dependency of the three arrays."""
     arrays = F.concat(*[F.coalesce(c, F.array()) for c in ("manifest_dependencies", "sbom_dependencies", "import_dependencies")])
     return contexts.select("repo_id", F.inline(arrays))
 

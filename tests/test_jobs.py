@@ -4,7 +4,8 @@
 from stackweave import catalog
 from stackweave.__main__ import main
 from stackweave.operators import classify as C
-from stackweave.plans import jobs
+from stackweave.operators import parsers as P
+from stackweave.plans import jobs, reports
 
 SF = "/root/testdata/sf0.001"
 TREE = ["pyproject.toml", *[f"src/{x}.py" for x in "abcde"], "tests/test_app.py", ".github/workflows/ci.yml"]
@@ -83,3 +84,23 @@ def test_plans_push_down_and_avoid_nested_loops(spark):
     prefix = plan("q_prefix_join")
     assert "NestedLoop" not in prefix and "Cartesian" not in prefix
     assert "NestedLoop" not in plan("q_cooccurrence") and "WindowGroupLimit" in plan("q_edges_argmax")
+
+
+def test_contexts_are_assembled(spark):
+    trees = spark.createDataFrame([(1, ["requirements.txt", "src/a.py"]), (2, ["src/a.py", "x/b.py"]), (3, [])], "repo_id long, tree_paths array<string>")
+    text = "repo_id long, path string, text string"
+    files = spark.createDataFrame([(1, "requirements.txt", "openai>=1\n"), (1, "other/requirements.txt", "torch\n")], text)
+    sbom = '{"packages": [{"SPDXID": "A", "name": "X"}], "relationships": [{"spdxElementId": "D", "relatedSpdxElement": "R", "relationshipType": "DESCRIBES"}, {"spdxElementId": "R", "relatedSpdxElement": "A", "relationshipType": "DEPENDS_ON"}]}'
+    sources = spark.createDataFrame([(1, "src/a.py", "import os"), (2, "src/a.py", "import torch"), (2, "x/b.py", "import rich")], text)
+    got = {r.repo_id: r for r in P.assemble(trees, files, spark.createDataFrame([(3, "sbom.json", sbom)], text), sources).collect()}
+    assert got[1].manifest_packages == ["openai"] and got[1].imported == []
+    assert got[2].imported == ["rich", "torch"] and got[3].sbom_packages == ["x"] and got[3].imported == []
+
+
+def test_composed_reports(spark):
+    t = catalog.Lens(spark, SF)
+    made = reports.report_summary(t.repos, t.decisions, t.edges, t.technologies, 5)
+    assert made["funnel"].first().total == t.decisions.count() and 0 < made["technologies"].count() <= 5
+    gaps = reports.gap_report(t.repos, t.decisions, t.edges, t.evidence, 5)
+    missing = reports.missing_edges(t.decisions, t.edges).count()
+    assert sum(r.n_repos for r in gaps["reasons"].collect()) == missing and gaps["queue"].count() == min(5, missing)
