@@ -792,3 +792,59 @@ def q_snapshot_metrics(t):
 def q_refresh(t):
     old = t.part.select(F.col("p_partkey").alias("repo_id"), F.lit("old").alias("state"))
     return J.refresh(old, old.filter("repo_id % 10 = 0").withColumn("state", F.lit("fresh")))
+
+
+# Scalars
+
+
+@query("select p_partkey, case when p_size = 0 then 0 else round_even(p_size::double / 37::double * 100, 1) end as pct, p_size > 45 or (p_partkey % 7 >= 2 and (p_partkey % 7)::double / p_size >= 0.15) as affine, greatest(0.0::double, least(100.0::double, 0 + (p_size - 10) * 100.0::double / 30)) as scaled, least(p_partkey % 9, greatest(1, ceil(p_size * 0.1::double)::bigint)) as sample from part")
+def q_scalars(t):
+    n, k = F.col("p_size"), F.col("p_partkey")
+    return t.part.select("p_partkey", S.percent(n, F.lit(37)).alias("pct"), S.family_affine(n > 45, k % 7, n).alias("affine"), S.scaled(n, 10, 40, 0.0, 100.0).alias("scaled"), S.sample_size(n, 0.1, k % 9).cast("bigint").alias("sample"))
+
+
+@query("select evidence_type, case when evidence_type in ('manifest', 'sbom', 'import') then 'direct' when evidence_type = 'repo_identity' then 'identity' else 'fallback' end as strength, count(*) as n from evidence group by 1, 2")
+def q_evidence_strength(t):
+    return t.evidence.groupBy("evidence_type", X.evidence_strength(F.col("evidence_type")).alias("strength")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select technology_id, coalesce(provider_id in (3, 4), false) or category_id in ('ASIA') or technology_id in (7) or technology_id % 4 = 0 as anchor from technologies")
+def q_llm_anchor(t):
+    rows = t.technologies.withColumns({"provider_id": F.coalesce(F.col("provider_id"), F.lit(-1)).cast("string"), "technology_id": F.col("technology_id").cast("string"), "capabilities": F.when(F.col("technology_id") % 4 == 0, F.array(F.lit("llm"))).otherwise(F.array(F.lit("x")))})
+    return rows.select(F.col("technology_id").cast("bigint").alias("technology_id"), C.llm_anchor(("3", "4"), ("ASIA",), ("7",)).alias("anchor"))
+
+
+@query("select repo_id, repo_id % 2 = 0 as by_search, repo_id % 3 = 0 as by_anchor, repo_id % 2 <> 0 and repo_id % 3 <> 0 as only_seed from repos")
+def q_found_by(t):
+    k = F.col("repo_id")
+    rows = t.repos.select("repo_id", F.when(k % 3 == 0, F.array(F.lit("anchor"), F.lit("seed"))).otherwise(F.array(F.lit("seed"))).alias("s"), F.when(k % 2 == 0, F.array(F.lit("repo:x"), F.lit("topic:llm"))).otherwise(F.array(F.lit("repo:x"))).alias("q"))
+    a, b, c = C.found_by(F.col("s"), F.col("q"))
+    return rows.select("repo_id", a.alias("by_search"), b.alias("by_anchor"), c.alias("only_seed"))
+
+
+@query("select event_id, epoch_us(ts + interval 90 second)::double / 1e6 - epoch_us(ts)::double / 1e6 > 89.9 as late, sha256('{\"event_type\":\"' || event_type || '\",\"user_id\":' || cast(user_id as varchar) || '}') as digest from events")
+def q_hash_and_elapsed(t):
+    ts = F.col("ts").cast("timestamp")
+    return t.events.select("event_id", (S.elapsed_seconds(ts, ts + F.expr("interval 90 seconds")) > 89.9).alias("late"), S.stable_hash("event_type", "user_id").alias("digest"))
+
+
+@query("select doc_id as repo_id, substr(text, 1, 2500) as readme, least(2, (doc_id % 5)::int) as n_notes from documents")
+def q_judge_packet(t):
+    d = t.documents.select(F.col("doc_id").alias("repo_id"), F.col("source").alias("full_name"), F.col("text").alias("readme_text"), F.array_repeat(F.lit("n"), (F.col("doc_id") % 5).cast("int")).alias("notes"), F.array(F.lit("a"), F.lit("b")).alias("tree_paths"))
+    return D.judge_packet(d, 2).select("repo_id", "readme", F.size("notes").alias("n_notes"))
+
+
+@query("select event_id as repo_id, cast(case when user_id % 3 = 0 then 0 else event_id % 4 end as int) as n_manifests, user_id % 3 = 0 or event_id % 4 = 0 or (event_type = 'error' and user_id % 2 = 0) as wanted from events")
+def q_import_scan(t):
+    n = F.when(F.col("user_id") % 3 == 0, 0).otherwise(F.col("event_id") % 4)
+    hits, topics = F.when(F.col("event_type") == "error", 0).otherwise(1), F.when(F.col("user_id") % 2 == 0, 1).otherwise(0)
+    return t.events.select(F.col("event_id").alias("repo_id"), n.cast("int").alias("n_manifests"), P.import_scan_wanted(n, hits, topics).alias("wanted"))
+
+
+@query("select p_partkey, case when p_size % 2 = 0 then 'go.mod' when p_size % 3 = 0 then 'src/a/package.json' else 'x/y/Cargo.toml' end || case when p_partkey % 5 > 0 and p_size % 2 <> 0 and p_size % 3 <> 0 then '|z/go.mod' else '' end as chosen from part")
+def q_manifest_paths(t):
+    s, k = F.col("p_size"), F.col("p_partkey")
+    first = F.when(s % 2 == 0, "go.mod").when(s % 3 == 0, "src/a/package.json").otherwise("x/y/Cargo.toml")
+    tree = F.array(F.lit("a.py"), F.lit("vendor/go.mod"), first, F.when((k % 5 > 0) & (s % 2 != 0) & (s % 3 != 0), "z/go.mod").otherwise("z/readme"))
+    # The deeper manifest comes behind the shallower one of the same rank.
+    return t.part.select("p_partkey", F.array_join(F.reverse(S.manifest_paths(tree, ("vendor",))), "|").alias("chosen"))
