@@ -62,9 +62,9 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     """The column's UTF-8 bytes and its n + 1 offsets; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+    column = column.cast(pa.large_string())
     if column.null_count:
         column = column.fill_null("")
-    column = column.cast(pa.large_string())
     _, offs, data = column.buffers()
     offsets = np.frombuffer(offs, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     buf = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
@@ -90,10 +90,15 @@ class Words:
         n = len(self.hash)
         if n < k:
             return np.zeros(0, np.uint64)
-        power, inverse = _powers(base, n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.hash * power[:n], out=total[1:])
-        return mix((total[k:] - total[: n - k + 1]) * inverse[: n - k + 1])
+        out = np.empty(n - k + 1, np.uint64)
+        power, inverse = _powers(base, min(n, CHUNK_BYTES + k) + 1)
+        for i in range(0, n - k + 1, CHUNK_BYTES):  # in blocks, for rows of any length
+            part = self.hash[i : i + CHUNK_BYTES + k - 1]
+            total = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(part * power[: len(part)], out=total[1:])
+            m = len(part) - k + 1
+            out[i : i + m] = (total[k:] - total[:m]) * inverse[:m]
+        return mix(out)
 
     def anchors(self, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
         """Content-chosen words and the hash of the k words from them on: the least hash of every `window` consecutive
@@ -140,13 +145,21 @@ def _segment(buf: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> Words:
     begins[1:] &= ~before
     ends[:-1] &= ~after
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    power, inverse = _powers(_BASE, n + 1)
-    value = fold_case(buf).astype(np.uint64)
-    value += np.uint64(1)
-    value *= power[:n]
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(value, out=total[1:])
-    hashes = mix((total[end] - total[start]) * inverse[start])
+    hashes = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):  # in blocks of whole words, for rows of any length
+        j = max(i + 1, int(np.searchsorted(end, start[i] + CHUNK_BYTES, "right")))
+        s, e = start[i:j] - start[i], end[i:j] - start[i]
+        size = int(e[-1])
+        power, inverse = _powers(_BASE, size + 1)
+        value = fold_case(buf[start[i] : end[j - 1]]).astype(np.uint64)
+        value += np.uint64(1)
+        value *= power[:size]
+        total = np.zeros(size + 1, np.uint64)
+        np.cumsum(value, out=total[1:])
+        hashes[i:j] = (total[e] - total[s]) * inverse[s]
+        i = j
+    hashes = mix(hashes)
     first = np.searchsorted(start, offsets)
     row = np.repeat(np.arange(hi - lo), np.diff(first))
     return Words(lo, hi, buf, offsets, start, end, hashes, row, first)

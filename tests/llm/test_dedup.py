@@ -60,6 +60,26 @@ def test_segment_folds_case_and_keeps_rows_apart():
     assert list(w.row) == [0, 0, 2, 4] and w.hash[0] == w.hash[2] and list(w.first) == [0, 2, 2, 3, 3, 4]
 
 
+def test_long_rows_are_hashed_in_blocks():
+    """A row longer than a block, and a word longer than one, have the hashes that plain arithmetic gives."""
+    import pyarrow as pa
+
+    from stackweave.llm import words as w_
+
+    text = "Ab é " * 250_000 + "x" * 600_000 + " end"
+    (w,) = segment(pa.array([text]))
+    short, long_ = segment(pa.array(["ab é ab é end", "x" * 600_000]))
+    assert len(w.hash) == 500_002 and (w.hash[:-2:2] == short.hash[0]).all() and (w.hash[1:-2:2] == short.hash[1]).all()
+    assert w.hash[-1] == short.hash[4] and w.hash[-2] == long_.hash[0]
+    (many,) = segment(pa.array(["a b c " * 300_000]))
+    g = many.grams(5)
+    assert len(g) == 900_000 - 4 and (g[0::3] == g[0]).all() and (g[1::3] == g[1]).all() and len(set(g[:3].tolist())) == 3
+    total = 0
+    for i in reversed(range(3)):
+        total = (total * (w_._GRAM) + int(many.hash[i])) % (1 << 64)
+    assert int(many.grams(3)[0]) == int(w_.mix(np.array([total], np.uint64))[0])
+
+
 def test_merge_runs_is_a_merge_with_common_prefixes():
     rng = random.Random(1)
     runs = []
