@@ -652,8 +652,7 @@ def q_stream_incremental(t):
 
     from .streaming.incremental import classify_stream, committed
 
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/stackweave-{uuid.uuid4().hex}"
-    where = f"{base}/stream-{uuid.uuid4().hex}"
+    where = f"{G.shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
     t.events.select("user_id", "event_type").repartition(4, "user_id").write.parquet(f"{where}/in")
     decide = lambda b: {"decisions": b.groupBy(F.col("user_id").alias("repo_id")).agg(F.count(F.lit(1)).alias("score"), F.count_if(F.col("event_type") == "error").alias("errors"))}
     classify_stream(t.spark, f"{where}/in", "user_id long, event_type string", f"{where}/out", decide)

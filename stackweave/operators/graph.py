@@ -7,6 +7,8 @@ goes to a kernel, and beyond that only the relational measures and the iterative
 from __future__ import annotations
 
 import heapq
+import re
+import tempfile
 from collections import defaultdict
 
 import numpy as np
@@ -44,15 +46,16 @@ def density(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return n.crossJoin(m).withColumn("density", F.when(full > 0, 2.0 * F.col("n_edges") / full).otherwise(0.0))
 
 
-def shared_folder(spark: SparkSession) -> None:
-    """Sets the checkpoint folder from the session where the context has none; a temporary one if there is no setting either."""
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir, set as the checkpoint folder where there is none; in local mode without a setting, a temporary one."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="stackweave-")
     if spark.sparkContext.getCheckpointDir() is None:
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path:
-            import tempfile
-
-            path = tempfile.mkdtemp(prefix="stackweave-")
         spark.sparkContext.setCheckpointDir(path)
+    return path
 
 
 def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
