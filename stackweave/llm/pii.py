@@ -22,6 +22,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,37 +53,65 @@ _SURNAME = {n.lower(): k for k, ns in SURNAMES.items() for n in ns}
 _NAME = "|".join(sorted((re.escape(n) for ns in GIVEN.values() for n in ns), key=len, reverse=True))
 _LAST = "|".join(sorted((re.escape(n) for ns in SURNAMES.values() for n in ns), key=len, reverse=True))
 
-_ENTITY = re.compile(
-    r"(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
-    r"|(?P<key>\bAKIA[A-Z0-9]{16}\b)"
-    r"|(?P<password>(?<=password=)[^\s,;]+)"
-    r"|(?P<token>\b(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,}\b)"
-    r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))"
+_EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+_KEY = re.compile(r"\bAKIA[A-Z0-9]{16}\b")
+_PASSWORD = re.compile(r"(?<=password=)[^\s,;]+", re.I)
+_HEX = re.compile(r"[0-9a-f]{32,}")
+#: Numbers lie within runs of digits and what separates them; only these are looked at closely.
+_RUN = re.compile(r"[+(\d][\d .()+-]{6,}")
+_NUMBER = re.compile(
+    r"(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))"
     r"|(?P<card>(?<![\d-])(?:\d{4}[ -]?){3}\d{4}(?![\d-]))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}(?!\d))"
-    rf"|(?P<name>\b(?:{_NAME})\s+(?:{_LAST})\b)",
-    re.I,
 )
-#: A text with none of these has no entity; most texts are done with after this one pass.
-_HINT = re.compile(rf"@|\d[\d .()-]{{5}}|password=|akia|[0-9a-f]{{32}}|\b(?:{_NAME})\s", re.I)
+_FULL_NAME = re.compile(rf"\b(?:{_NAME})\s+(?:{_LAST})\b", re.I)
+_automaton: list[ahocorasick.Automaton] = []
+
+
+def _has_name(text: str) -> bool:
+    """A given name occurs, by one pass of an Aho-Corasick automaton."""
+    if not _automaton:
+        a = ahocorasick.Automaton()
+        for names in GIVEN.values():
+            for n in names:
+                for form in (n, n.upper()):
+                    a.add_word(form, 1)
+        a.make_automaton()
+        _automaton.append(a)
+    return next(_automaton[0].iter(text), None) is not None
+
+
 _EXACT = ("key", "token")
 
 
-def entities(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind), from left to right."""
-    if not text or not _HINT.search(text):
+def entities(text: str | None) -> list[tuple[int, int, str]]:
+    """(start, end, kind), from left to right; of overlapping ones the leftmost, then the first in the order below."""
+    if not text:
         return []
-    out = []
-    for m in _ENTITY.finditer(text):
-        kind, value = m.lastgroup, m.group()
-        if kind == "key" and not value.startswith("AKIA") or kind == "token" and value != value.lower():
-            continue
-        if kind == "name" and not _name_fits(value):
-            continue
-        end = m.end()
-        if kind == "password":
-            end -= len(value) - len(value.rstrip(".!?")) if value.rstrip(".!?") else 0
-        out.append((m.start(), end, kind))
+    found: list[tuple[int, int, int, str]] = []
+    if "@" in text:
+        found += [(m.start(), 0, m.end(), "email") for m in _EMAIL.finditer(text)]
+    if "AKIA" in text:
+        found += [(m.start(), 1, m.end(), "key") for m in _KEY.finditer(text)]
+    if "assword=" in text or "ASSWORD=" in text:
+        for m in _PASSWORD.finditer(text):
+            value = m.group()
+            found.append((m.start(), 2, m.start() + len(value.rstrip(".!?") or value), "password"))
+    for m in _HEX.finditer(text):
+        i, j = m.span()
+        value = m.group()
+        inside = i > 0 and (text[i - 1].isalnum() or text[i - 1] == "_") or j < len(text) and (text[j].isalnum() or text[j] == "_")
+        if not inside and not value.isdigit() and not value.isalpha():
+            found.append((i, 3, j, "token"))
+    for run in _RUN.finditer(text):
+        found += [(m.start(), 4, m.end(), m.lastgroup) for m in _NUMBER.finditer(text, run.start(), run.end())]
+    if _has_name(text):
+        found += [(m.start(), 5, m.end(), "name") for m in _FULL_NAME.finditer(text) if _name_fits(m.group())]
+    out, free = [], 0
+    for i, _, j, kind in sorted(found):
+        if i >= free:
+            out.append((i, j, kind))
+            free = j
     return out
 
 
