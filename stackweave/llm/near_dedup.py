@@ -30,6 +30,9 @@ BUDGET = 22
 TYPICAL = 0.1  # share of bits in which near copies differ
 MISSED = 0.002  # of the pairs that differ so, the share that no trie may bring together
 LEAF = 64
+#: Roots with more rows first connect their rows to a few of them (stars), so that thousands of copies aren't compared pair by pair.
+STAR_ROWS = 48
+STAR_ROUNDS = 4
 _LANES = ((np.arange(256)[:, None] >> np.arange(8)[None, :] & 1).astype(np.uint64) << (np.arange(8, dtype=np.uint64) * 8)[None, :]).sum(1).astype(np.uint64)
 SIGNATURE = "doc_id long, s0 long, s1 long"
 
@@ -111,13 +114,43 @@ def _orders(tries: int, prefix_bits: int):
     return expand
 
 
-def trie_pairs(p: np.ndarray, root_lo: np.ndarray, root_hi: np.ndarray, depth: int, budget: int, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
+def stars(p: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int, rounds: int = STAR_ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A label for each row, and the pairs (pivot, row) that give it: below each large root the middle row without a label, which is
+    likely one of the largest group, takes all rows within the budget, some rounds long.  Rows of one label are connected, so pairs of them need no comparison."""
+    label = -1 - np.arange(len(p))
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        size = hi - lo
+        rows = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        root = np.repeat(np.arange(len(lo)), size)
+        free = label[rows] < 0
+        rows, root = rows[free], root[free]
+        if not len(rows):
+            break
+        begin = np.flatnonzero(np.r_[True, root[1:] != root[:-1]])
+        many = np.diff(np.r_[begin, len(rows)])
+        pivot = np.repeat(rows[begin + many // 2], many)
+        near = (np.bitwise_count(p[rows, 0] ^ p[pivot, 0]).astype(np.int64) + np.bitwise_count(p[rows, 1] ^ p[pivot, 1])) <= budget
+        label[rows[near]] = pivot[near]
+        other = near & (rows != pivot)
+        found.append((pivot[other], rows[other]))
+    return label, *(np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+
+
+def trie_pairs(p: np.ndarray, root_lo: np.ndarray, root_hi: np.ndarray, depth: int, budget: int, leaf: int = LEAF, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs within `budget` differing bits below each root.  p: (n, 2) uint64, sorted below each root; a root is
-    the rows lo..hi that agree in the first `depth` bits.  A node is a range of rows that agree in the bits so far."""
+    the rows lo..hi that agree in the first `depth` bits.  A node is a range of rows that agree in the bits so far.
+    With labels, a pair of nodes whose rows all have one label is skipped."""
+    turns = None if label is None else np.cumsum(np.r_[0, label[1:] != label[:-1]])
     found: list[tuple[np.ndarray, np.ndarray]] = []
     a_lo, a_hi, b_lo, b_hi = root_lo, root_hi, root_lo, root_hi
     err = np.zeros(len(root_lo), np.int64)
     while len(err):
+        if turns is not None:
+            known = (turns[a_lo] == turns[a_hi - 1]) & (turns[b_lo] == turns[b_hi - 1]) & (label[a_lo] == label[b_lo])
+            a_lo, a_hi, b_lo, b_hi, err = (x[~known] for x in (a_lo, a_hi, b_lo, b_hi, err))
+            if not len(err):
+                break
         same = a_lo == b_lo
         work = (a_hi - a_lo) * (b_hi - b_lo)
         done = (work <= leaf) | (depth == BITS)
@@ -202,8 +235,11 @@ def _join_tries(prefix_bits: int, budget: int):
             lo = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             hi = np.r_[lo[1:], len(key)]
             more = hi - lo > 1
-            x, y = trie_pairs(p, lo[more], hi[more], prefix_bits, budget)
-            x, y = forest(rep[x], rep[y])
+            lo, hi = lo[more], hi[more]
+            large = hi - lo > STAR_ROWS
+            label, x0, y0 = stars(p, lo[large], hi[large], budget)
+            x, y = trie_pairs(p, lo, hi, prefix_bits, budget, label=label)
+            x, y = forest(rep[np.r_[x0, x]], rep[np.r_[y0, y]])
             return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["src", "dst"])
 
         def columns(bs: list[pa.RecordBatch]) -> list[np.ndarray]:

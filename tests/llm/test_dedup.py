@@ -205,3 +205,18 @@ def test_signatures_do_not_depend_on_neighbours():
     for i, t in enumerate(texts):
         alone, has = near_dedup.signatures(pa.array([t]))
         assert (alone[0] == together[i]).all() and has[0] == bool(t)
+
+
+def test_stars_keep_the_components_and_save_the_pairs():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, (4, 2)).astype(np.uint64)
+    p = np.concatenate([b ^ (np.uint64(1) << rng.integers(0, 64, (n, 2, 6)).astype(np.uint64)).max(2) for b, n in zip(base, (700, 90, 2, 1))] + [rng.integers(0, 1 << 63, (60, 2)).astype(np.uint64)])
+    p = np.unique(p, axis=0)
+    lo, hi = np.array([0]), np.array([len(p)])
+    for budget in (3, 8, 20):
+        x, y = near_dedup.trie_pairs(p, lo, hi, 0, budget)
+        label, x0, y0 = near_dedup.stars(p, lo, hi, budget)
+        x1, y1 = near_dedup.trie_pairs(p, lo, hi, 0, budget, label=label)
+        ids = range(len(p))
+        assert groups(zip(x.tolist(), y.tolist()), ids) == groups([*zip(x0.tolist(), y0.tolist()), *zip(x1.tolist(), y1.tolist())], ids)
+    assert len(x1) < len(x) / 20
