@@ -2,14 +2,12 @@
 
 import math
 import os
-import sys
 
 import duckdb
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-from stackweave import catalog  # noqa: E402
-from stackweave.lens import BASE  # noqa: E402
+from stackweave import catalog
+from stackweave.lens import BASE
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
