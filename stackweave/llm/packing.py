@@ -26,7 +26,7 @@ from .shared import kept, numbered
 
 CAPACITY = 2048
 GRID = 8
-STEP = 0.1
+STEP = 0.2
 CHUNK_BITS = 14
 
 
@@ -55,7 +55,7 @@ def best_configuration(price: np.ndarray, room: int) -> np.ndarray:
 def solve(demand: np.ndarray, room: int, step: float = STEP) -> dict[tuple, float]:
     """Fractional numbers of configurations (tuples of (units, count)) that cover the demand for each length."""
     demand = demand.astype(float)
-    eta = np.log(max(2, (demand > 0).sum())) / 0.5
+    eta = np.log(max(2, (demand > 0).sum())) / 0.25
     covered = np.where(demand > 0, 0.0, np.inf)
     x: Counter = Counter()
     while (open_ := covered < 1 - 1e-9).any():
@@ -64,6 +64,7 @@ def solve(demand: np.ndarray, room: int, step: float = STEP) -> dict[tuple, floa
         counts = best_configuration(price, room)
         used = counts > 0
         amount = step * (demand[used] / counts[used]).min()
+        amount = min(amount, ((1 - covered[used]) * demand[used] / counts[used]).max())  # no more than any length still needs
         x[tuple((int(i) + 1, int(counts[i])) for i in np.flatnonzero(used))] += amount
         covered[used] += counts[used] * amount / demand[used]
     return x
