@@ -19,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Aligned common blocks go from the later document; a document that loses all its text goes."""
-    cut = line_dedup.dedup_lines(docs).filter("__sw_deleted = 0 or trim(text) != ''")
+    cut = line_dedup.dedup_lines(docs, holders="all").filter("__sw_deleted = 0 or trim(text) != ''")
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(F.col("__sw_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return cut.select(docs.columns)

@@ -35,7 +35,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", F.col("__sw_deleted").alias("n_deleted"))
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), holders="all").select("doc_id", "text", F.col("__sw_deleted").alias("n_deleted"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,20 @@
 """Line dedup by pairwise alignment.
 
-A line is compared by its trimmed text.  Documents that overlap are found through their repeated
-lines of at least `min_chars` characters: each document is paired with the earliest holder (least
-doc_id) of each of its lines, which is linear in the lines however many documents share one, and
-still brings every shared line together with its first place.  Each pair is aligned by patience
+A line is compared by its trimmed text (its 64-bit hash).  A pair of documents is aligned by patience
 diff: lines that are unique in both documents are matched along the longest increasing sequence,
 between them again, and matches grow to their equal neighbours.  Blocks of matched lines with at
 least min_chars characters are deleted from the later document.  A line's first holder never loses
 it through a pair that the line made.
 
+`holders="all"`, as op6 and the pipeline have it, deletes what the alignments with all earlier documents that
+share a line of min_chars characters delete.  As lines of one document only match nothing, a document is first reduced
+to its skeleton: its repeated lines, and a gap where others stand.  Documents of one skeleton align
+alike, so skeletons are aligned, each as the earliest of its documents, and what comes out is the
+least doc_id from which on a line goes.  A repeated line that the first holder leaves undeleted is
+aligned with the next holders, four times as many in each round, until it is deleted or
+none is left.  `holders="first"` stops at the least doc_id that holds each line, and leaves lines that
+cross in that alignment, or that occur twice.
+
 Edge cases: null doc_ids and null or empty texts are returned as they are; rows that repeat a
 doc_id are aligned each with the earlier documents, never with one another, and a line deleted at
 a place of one is deleted there in all; a text that loses all its lines becomes empty (the pipeline
@@ -26,9 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import kept, small_batches
 
 MIN_CHARS = 20
+#: The ranks of holders that a round takes grow by this factor.
+GROWTH = 4
+NEVER = (1 << 63) - 1
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
@@ -91,6 +100,12 @@ def common_blocks(a: list, b: list, size: list, min_chars: int) -> list[int]:
     return gone
 
 
+def evidence(seq: list, size: list, min_chars: int) -> list[tuple[int, int, int]]:
+    """(key, i, j): the lines of a skeleton, without its gaps, that have at least min_chars characters."""
+    own = [x for x in seq if x is not None]
+    return [(h, i, i + 1) for i, h in enumerate(own) if size[i] >= min_chars]
+
+
 def _align(min_chars: int):
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -112,7 +127,7 @@ def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
 
 
 def deletions(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(__sw_id, __sw_gone): the documents that lose lines and the numbers of these lines."""
+    """(__sw_id, __sw_gone): the documents that lose lines to the first holders of their lines, and the numbers of these lines."""
     lines = F.transform(F.split(F.col("text").cast("string"), "\n"), lambda x: F.trim(x))
     own = docs.select(F.col("doc_id").cast("long").alias("__sw_id"), lines.alias("__sw_l")).filter("__sw_id is not null and __sw_l is not null")
     own = own.select("__sw_id", F.transform("__sw_l", lambda x: F.xxhash64(x)).alias("__sw_h"), F.transform("__sw_l", lambda x: F.length(x)).alias("__sw_n"))
@@ -126,10 +141,97 @@ def deletions(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return found.groupBy("__sw_id").agg(F.array_distinct(F.flatten(F.collect_list("__sw_gone"))).alias("__sw_gone"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs with the lines deleted from `text`, and how many in `__sw_deleted`."""
+def _keys(min_chars: int):
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each skeleton its evidence keys, each with the last of the ids from which on its lines are deleted so far."""
+        for b in batches:
+            out: list[tuple] = []
+            for s, m, top, seq, size, gone in zip(*(b.column(i).to_pylist() for i in range(6))):
+                gone = dict(gone or ())
+                least = [gone.get(j, NEVER) for j in range(len(size))]
+                worst: dict[int, int] = {}
+                for key, i, j in evidence(seq, size, min_chars):
+                    worst[key] = max(worst.get(key, -NEVER), *least[i:j])
+                out += [(s, m, top, k, w) for k, w in worst.items()]
+            cols = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["__sw_s", "__sw_m", "__sw_top", "__sw_key", "__sw_worst"])
+
+    return keys
+
+
+def _align_skeletons(min_chars: int):
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for s, t, old, new, size in zip(*(b.column(i).to_pylist() for i in range(5))):
+                # A gap stands for lines that no other document holds: it matches nothing.
+                n = -1
+                index, chars = [], []
+                for x in new:
+                    n += x is not None
+                    index.append(n)
+                    chars.append(0 if x is None else size[n])
+                found = common_blocks(old, ["" if x is None else x for x in new], chars, min_chars)
+                out += [(s, index[j], t) for j in found]
+            cols = list(zip(*out)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64())], ["__sw_s", "__sw_j", "__sw_t"])
+
+    return align
+
+
+def all_deletions(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(__sw_id, __sw_gone) from the alignments with all earlier documents."""
+    lines = F.transform(F.split(F.col("text").cast("string"), "\n"), lambda x: F.trim(x))
+    own = docs.select(F.col("doc_id").cast("long").alias("__sw_id"), F.col("text").cast("string").alias("__sw_x"), lines.alias("__sw_l")).filter("__sw_id is not null and __sw_l is not null")
+    own = own.select("__sw_id", F.xxhash64("__sw_x").alias("__sw_c"), F.size("__sw_l").alias("__sw_of"), F.posexplode(F.transform("__sw_l", lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n")))).alias("p", "x"))
+    own = own.select("__sw_id", "__sw_c", "__sw_of", "p", "x.h", "x.n")
+    repeated = own.groupBy("h").agg(F.min("__sw_id").alias("a"), F.max("__sw_id").alias("b")).filter("a < b").select("h")
+    rows = own.join(repeated, "h").groupBy("__sw_id", "__sw_c", "__sw_of").agg(F.sort_array(F.collect_set(F.struct("p", "h", "n"))).alias("x"))
+    before = lambda x, i: F.when(i == 0, F.lit(-1)).otherwise(F.get(F.col("x.p"), i - 1))
+    gap = F.array(F.lit(None).cast("long"))
+    seq = F.flatten(F.transform("x", lambda x, i: F.when(x.p == before(x, i) + 1, F.array(x.h)).otherwise(F.concat(gap, F.array(x.h)))))
+    seq = F.when(F.element_at("x", -1).p == F.col("__sw_of") - 1, seq).otherwise(F.concat(seq, gap))
+    rows = rows.select("__sw_id", F.col("x.p").alias("__sw_p"), seq.alias("__sw_seq"), F.col("x.n").alias("__sw_n"))
+    # xxhash64 passes over nulls, so gaps go in as text.
+    rows = kept(rows.withColumn("__sw_s", F.xxhash64(F.transform("__sw_seq", lambda x: F.coalesce(x.cast("string"), F.lit("-"))))), "line-rows")
+    skeletons = kept(rows.groupBy("__sw_s").agg(F.min("__sw_id").alias("__sw_m"), F.max("__sw_id").alias("__sw_top"), F.first("__sw_seq").alias("__sw_seq"), F.first("__sw_n").alias("__sw_n")), "line-skeletons")
+
+    none = F.lit(None).cast("map<int,bigint>").alias("__sw_gone")
+    key_schema = "__sw_s long, __sw_m long, __sw_top long, __sw_key long, __sw_worst long"
+    cols = ["__sw_s", "__sw_m", "__sw_top", "__sw_seq", "__sw_n"]
+    holders = skeletons.select(*cols, none).mapInArrow(_keys(min_chars), key_schema)
+    by_key = Window.partitionBy("__sw_key").orderBy("__sw_m", "__sw_s")
+    holders = holders.withColumn("__sw_rank", F.row_number().over(by_key)).withColumn("__sw_last", F.max("__sw_top").over(Window.partitionBy("__sw_key"))).withColumn("__sw_first", F.min("__sw_m").over(Window.partitionBy("__sw_key")))
+    holders = kept(holders.filter("__sw_first < __sw_last"), "line-holders")
+    held = holders.select("__sw_key", "__sw_rank", F.col("__sw_s").alias("__sw_old"), F.col("__sw_m").alias("__sw_t"))
+    useful = F.col("__sw_t") < F.least("__sw_worst", "__sw_top")
+    still = holders.select("__sw_s", "__sw_top", "__sw_key", "__sw_worst")
+    done, low, high = None, 1, 2
+    while True:
+        part = held.filter((F.col("__sw_rank") >= low) & (F.col("__sw_rank") < high))
+        pairs = still.join(part, "__sw_key").filter(useful).select("__sw_s", "__sw_old", "__sw_t").distinct()
+        old = skeletons.select(F.col("__sw_s").alias("__sw_old"), F.col("__sw_seq").alias("__sw_oldseq"))
+        joined = pairs.join(old, "__sw_old").join(skeletons.select("__sw_s", "__sw_seq", "__sw_n"), "__sw_s").select("__sw_s", "__sw_t", "__sw_oldseq", "__sw_seq", "__sw_n")
+        found = joined.mapInArrow(_align_skeletons(min_chars), "__sw_s long, __sw_j int, __sw_t long")
+        found = found if done is None else found.unionByName(done)
+        done = kept(found.groupBy("__sw_s", "__sw_j").agg(F.min("__sw_t").alias("__sw_t")), "line-done")
+        low, high = high, high * GROWTH
+        by_skeleton = done.groupBy("__sw_s").agg(F.map_from_entries(F.collect_list(F.struct("__sw_j", "__sw_t"))).alias("__sw_gone"))
+        live = skeletons.join(still.select("__sw_s").distinct(), "__sw_s", "left_semi").join(by_skeleton, "__sw_s", "left").select(*cols, "__sw_gone")
+        still = live.mapInArrow(_keys(min_chars), key_schema).join(held.filter(F.col("__sw_rank") == low), "__sw_key").filter(useful)
+        still = kept(still.select("__sw_s", "__sw_top", "__sw_key", "__sw_worst"), "line-open")
+        if still.isEmpty():
+            break
+    gone = F.filter("__sw_p", lambda p, i: F.coalesce(F.element_at("__sw_gone", i), F.lit(NEVER)) < F.col("__sw_id"))
+    cut = rows.select("__sw_id", "__sw_s", "__sw_p").join(by_skeleton, "__sw_s").select("__sw_id", gone.alias("__sw_gone")).filter(F.size("__sw_gone") > 0)
+    return cut.groupBy("__sw_id").agg(F.array_distinct(F.flatten(F.collect_list("__sw_gone"))).alias("__sw_gone"))
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, holders: str = "first") -> DataFrame:
+    """docs with the lines deleted from `text`, and how many in `__sw_deleted`; holders: "all" earlier documents, or just the "first" of each line."""
     small_batches(docs.sparkSession)
-    joined = docs.join(deletions(docs, min_chars), F.col("doc_id").cast("long") == F.col("__sw_id"), "left")
+    cuts = {"all": all_deletions, "first": deletions}[holders](docs, min_chars)
+    joined = docs.join(cuts, F.col("doc_id").cast("long") == F.col("__sw_id"), "left")
     hit = F.col("__sw_gone").isNotNull()
     text = F.when(hit, F.pandas_udf(_without, "string")(F.when(hit, F.col("text")), F.col("__sw_gone"))).otherwise(F.col("text"))
     return joined.withColumns({"text": text, "__sw_deleted": F.coalesce(F.size("__sw_gone"), F.lit(0))}).drop("__sw_id", "__sw_gone")
