@@ -6,11 +6,11 @@ between them again, and matches grow to their equal neighbours.  Blocks of match
 least min_chars characters are deleted from the later document.  A line's first holder never loses
 it through a pair that the line made.
 
-`holders="all"`, as op6 and the pipeline have it, deletes what the alignments with all earlier documents that
-share a line of min_chars characters delete.  As lines of one document only match nothing, a document is first reduced
+`holders="all"`, as op6 and the pipeline have it, deletes exactly what the alignments with all earlier documents
+delete.  Evidence are the shortest runs of lines that together have min_chars characters, so short lines count too.  As lines of one document only match nothing, a document is first reduced
 to its skeleton: its repeated lines, and a gap where others stand.  Documents of one skeleton align
 alike, so skeletons are aligned, each as the earliest of its documents, and what comes out is the
-least doc_id from which on a line goes.  A repeated line that the first holder leaves undeleted is
+least doc_id from which on a line goes.  A run that its first holder leaves undeleted is
 aligned with the next holders, four times as many in each round, until it is deleted or
 none is left.  `holders="first"` stops at the least doc_id that holds each line, and leaves lines that
 cross in that alignment, or that occur twice.
@@ -23,7 +23,7 @@ drops it); lines and texts of any length are taken whole; further columns pass t
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,6 +38,8 @@ MIN_CHARS = 20
 #: The ranks of holders that a round takes grow by this factor.
 GROWTH = 4
 NEVER = (1 << 63) - 1
+#: Of the rolling hash of runs of lines.
+PRIME, BASE = (1 << 61) - 1, 0x1F3D5B79A2C4E681 % ((1 << 61) - 1)
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
@@ -101,9 +103,34 @@ def common_blocks(a: list, b: list, size: list, min_chars: int) -> list[int]:
 
 
 def evidence(seq: list, size: list, min_chars: int) -> list[tuple[int, int, int]]:
-    """(key, i, j): the lines of a skeleton, without its gaps, that have at least min_chars characters."""
-    own = [x for x in seq if x is not None]
-    return [(h, i, i + 1) for i, h in enumerate(own) if size[i] >= min_chars]
+    """(key, i, j): runs of lines of a skeleton, numbered without its gaps, that together have at least min_chars characters.
+
+    From each line the shortest run that begins there, and to each line the shortest that ends there, as far as no gap
+    is between: any block of min_chars characters that two documents share is covered by such runs within it.
+    """
+    own: list[int] = []
+    start: list[int] = []
+    after_gap = 0
+    for x in seq:
+        if x is None:
+            after_gap = len(own)
+        else:
+            start.append(after_gap)
+            own.append(x)
+    sums, rolled, power = [0], [0], [1]
+    for h, n in zip(own, size):
+        sums.append(sums[-1] + n)
+        rolled.append((rolled[-1] * BASE + h) % PRIME)
+        power.append(power[-1] * BASE % PRIME)
+    runs = set()
+    for i in range(len(own)):
+        j = max(bisect_left(sums, sums[i] + min_chars), i + 1)
+        if j <= len(own) and start[j - 1] <= i:
+            runs.add((i, j))
+        j = max(min(bisect_right(sums, sums[i + 1] - min_chars) - 1, i), -1)
+        if j >= start[i]:
+            runs.add((j, i + 1))
+    return [((rolled[j] - rolled[i] * power[j - i]) % PRIME, i, j) for i, j in sorted(runs)]
 
 
 def _align(min_chars: int):

@@ -13,13 +13,13 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def brute(rows, min_chars, long_lines):
-    """Lines by document, and the line numbers that the alignments with all earlier documents delete; long_lines: only with those that share a line of min_chars characters."""
+def brute(rows, min_chars):
+    """Lines by document, and the line numbers that the alignments with all earlier documents delete."""
     docs = {d: [x.strip(" ") for x in text.split("\n")] for d, text in rows if d is not None and text is not None}
     gone = defaultdict(set)
     for d, lines in docs.items():
         for o, old in docs.items():
-            if o < d and (not long_lines or any(len(x) >= min_chars and x in old for x in lines)):
+            if o < d:
                 gone[d] |= set(line_dedup.common_blocks(old, lines, [len(x) for x in lines], min_chars))
     return docs, gone
 
@@ -34,12 +34,11 @@ def test_crossed_and_repeated_lines_go_on_to_further_holders(spark):
     rows = [(i, "\n".join(rng.choices(pool, k=rng.randint(1, 14)))) for i in rng.sample(range(500), 150)]
     one, two = "a line that crosses the other one", "the other line, which is crossed"
     rows += [(1000, f"{one}\nbetween them\n{two}"), (1001, f"mine\n{one}\nyours"), (1002, f"theirs\n{two}\nours"), (1003, f"begin\n{two}\nwithin\n{one}\nend"), (1004, rows[3][1]), *EDGES]
-    docs, gone = brute(rows, 20, True)
+    docs, gone = brute(rows, 20)
     assert gone[1003] == {1, 3}
     got = deleted(spark, rows)
-    for d, lines in docs.items():
-        assert got[d] <= gone[d], d
-        assert {j for j in got[d] if len(lines[j]) >= 20} == {j for j in gone[d] if len(lines[j]) >= 20}, d
+    for d in docs:
+        assert got[d] == gone[d], d
     by = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows), holders="all").collect()}
     assert by[1003] == "begin\nwithin\nend" and by[900] is None and by[901] == ""
     assert line_dedup.dedup_lines(frame(spark, []), holders="all").count() == 0
@@ -50,3 +49,28 @@ def test_rows_of_one_doc_id_are_not_aligned_with_one_another(spark):
     passage = "a passage that three rows hold"
     got = deleted(spark, [(1, f"first\n{passage}"), (1, f"{passage}\nsecond"), (2, f"{passage}\nthird"), (2, f"{passage}\nthird")])
     assert got == {2: {0}}
+
+
+def test_passages_in_short_lines_equal_brute_force(spark):
+    rng = random.Random(15)
+    pool = ["w" * rng.randint(1, 9) + str(i) for i in range(12)] + ["", "", "a single line that is long enough"]
+    rows = [(i, "\n".join(rng.choices(pool, k=rng.randint(1, 14)))) for i in rng.sample(range(500), 150)]
+    verse = [f"verse {i} goes on" for i in range(20)]
+    rows += [(1000, "\n".join(["first", *verse])), (1001, "\n".join(["mine", *verse, "own end"])), (1002, rows[3][1]), *EDGES]
+    docs, gone = brute(rows, 20)
+    assert gone[1001] == set(range(1, 21))
+    got = deleted(spark, rows)
+    for d in docs:
+        assert got[d] == gone[d], d
+
+
+def test_every_shared_block_is_covered_by_keys_within_it():
+    rng = random.Random(16)
+    for _ in range(300):
+        block = [rng.randint(-(1 << 63), 1 << 63) for _ in range(rng.randint(1, 9))]
+        size = [rng.choice((0, 0, 3, 9, 12, 25)) for _ in block]
+        alone = {k: (i, j) for k, i, j in line_dedup.evidence(block, size, 20)}
+        covered = {x for i, j in alone.values() for x in range(i, j)}
+        assert covered == (set(range(len(block))) if sum(size) >= 20 else set())
+        inside = {k for k, _, _ in line_dedup.evidence([7, None, 8, *block, 9], [5, 30, *size, 15], 20)}
+        assert set(alone) <= inside
