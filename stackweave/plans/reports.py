@@ -202,7 +202,7 @@ def benchmark_rates(found: DataFrame) -> DataFrame:
 
 
 def benchmark_gaps(found: DataFrame) -> DataFrame:
-    """REP-03: an additive urgency with its reasons."""
+    """REP-03 in part: an additive urgency with its reasons; prioritized_gaps has the seven checks."""
     checks = [
         ("not discovered", ~F.col("discovered"), 100), ("not included", F.col("discovered") & ~F.col("included"), 70), ("no adoption", F.col("adoption") == 0, 60),
         ("no evidence", F.col("n_evidence") == 0, 40), ("holdout", F.col("split") == "holdout", 20), ("evidence without adoption", (F.col("n_evidence") > 0) & (F.col("adoption") == 0), 30),
@@ -214,6 +214,25 @@ def benchmark_gaps(found: DataFrame) -> DataFrame:
     return found.filter("expectation = 'positive'").select("entity_id", urgency.alias("urgency"), reasons.alias("reasons")).filter("urgency > 0")
 
 
+def prioritized_gaps(found: DataFrame) -> DataFrame:
+    """REP-03: the seven checks of positive entities, with reasons and actions; a null flag counts as false."""
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    discovered, included = yes("repo_discovered"), yes("repo_included")
+    checks = [
+        (~discovered, 100, "benchmark repo not discovered", "add discovery seed or discovery query coverage"),
+        (discovered & ~yes("repo_discovered_by_search"), 30, "benchmark repo discovered only via exact seed", "improve topic or description query coverage"),
+        (discovered & yes("is_anchor_entity") & ~yes("repo_discovered_by_anchor"), 20, "anchor entity is not covered by anchor seed inputs", "add or fix anchor repo_names coverage"),
+        (discovered & ~included, 70, "benchmark repo discovered but not included", "review classification thresholds or exclusions"),
+        (included & ~yes("repo_identity_mapped"), 80, "repo included but canonical repo identity is not mapped", "add or fix repo_names mapping in registry"),
+        (yes("third_party_dependency_evidence_found") & ~yes("third_party_adoption"), 60, "dependency evidence exists but no third-party adoption edge was created", "add or fix package_prefix mapping in registry"),
+        (~yes("dependency_evidence_found"), 40, "no dependency evidence found for benchmark entity", "expand package prefixes or manifest/SBOM extraction coverage"),
+    ]
+    hits = F.filter(F.array(*[F.when(t, F.struct(F.lit(w).alias("w"), F.lit(r).alias("r"), F.lit(a).alias("a"))) for t, w, r, a in checks]), lambda x: x.isNotNull())
+    out = found.filter("expectation = 'positive'").withColumn("__sw_hits", hits).filter(F.size("__sw_hits") > 0)
+    score = F.aggregate("__sw_hits", F.lit(0), lambda n, x: n + x.w)
+    return out.select("entity_id", "display_name", score.alias("priority_score"), F.col("__sw_hits.r").alias("reasons"), F.array_distinct(F.col("__sw_hits.a")).alias("suggested_actions"))
+
+
 def review_queue(gaps: DataFrame, changed: DataFrame, readme_only: DataFrame, bench: DataFrame) -> DataFrame:
     """TOP-09: all that wants a look, by priority, kind and name."""
     rows = [
