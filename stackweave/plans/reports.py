@@ -255,7 +255,7 @@ CATEGORY_TERMS = (
 
 
 def suggestions(fams: DataFrame, known: DataFrame, least: int = 2) -> DataFrame:
-    """REP-05, REP-06: families worth registering: not known, not generic, with enough finals; category by their words, confidence by their hints."""
+    """REP-05, REP-06 in part: families worth registering: not known, not generic, with enough finals; category by their words, confidence by their hints."""
     category = F.lit("ai_developer_tools_and_sdk_families")
     for terms, name in reversed(CATEGORY_TERMS):
         category = F.when(X.contains_any(F.col("family"), terms), name).otherwise(category)
