@@ -260,5 +260,6 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, holders: str = "fir
     cuts = {"all": all_deletions, "first": deletions}[holders](docs, min_chars)
     joined = docs.join(cuts, F.col("doc_id").cast("long") == F.col("__sw_id"), "left")
     hit = F.col("__sw_gone").isNotNull()
-    text = F.when(hit, F.pandas_udf(_without, "string")(F.when(hit, F.col("text")), F.col("__sw_gone"))).otherwise(F.col("text"))
+    once = F.pandas_udf(_without, "string").asNondeterministic()  # else a filter on text runs it a second time
+    text = F.when(hit, once(F.when(hit, F.col("text")), F.col("__sw_gone"))).otherwise(F.col("text"))
     return joined.withColumns({"text": text, "__sw_deleted": F.coalesce(F.size("__sw_gone"), F.lit(0))}).drop("__sw_id", "__sw_gone")
