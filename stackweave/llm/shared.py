@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 import uuid
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,9 +30,13 @@ BATCH_BYTES = 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of whole texts by size rather than by 10,000 rows, so that Python workers stay small; a session's own setting stays."""
+    """Arrow batches of whole texts by size rather than by 10,000 rows, so that Python workers stay small.
+
+    A setting that the session already has stays, whatever its form.  Results are computed after the operator returns, so the
+    setting has to stay in the session.
+    """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(str(spark.conf.get(name)).rstrip("bB")) in (-1, (1 << 31) - 1, 256 << 20, 64 << 20):
+    if name not in spark.conf.getAll:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
@@ -41,15 +47,38 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, group: Column, order: list[Column], amount: Column, chunk: Column, name: str) -> DataFrame:
-    """Adds `name`: the sum of the whole-number `amount` over the rows of the group before this one in (chunk, order).
+#: Rows of a chunk of ids, and the most chunks.
+CHUNK_ROWS, CHUNKS = 1 << 14, 4096
+
+
+def chunked(df: DataFrame, key: Column, name: str) -> DataFrame:
+    """Adds `name`: the number of the chunk of the whole-number key, which doesn't decrease with it; null keys come first.
+
+    Chunks are bounded by quantiles of the keys, so they are of like size for dense, sparse and hashed keys alike.
+    """
+    number = key.cast("double")
+    n = df.agg(F.count(number)).first()[0]
+    bounds = []
+    if n > CHUNK_ROWS:
+        k = min(CHUNKS, n // CHUNK_ROWS + 1)
+        bounds = df.agg(F.percentile_approx(number, [i / k for i in range(1, k)], F.lit(10 * k))).first()[0]
+    splits = [-math.inf, *sorted(set(bounds)), math.inf]
+    if len(splits) == 2:
+        return df.withColumn(name, F.when(number.isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("long"))
+    cut = Bucketizer(splits=splits, inputCol="__sw_number", outputCol="__sw_bucket")
+    cut = cut.transform(df.withColumn("__sw_number", F.coalesce(number, F.lit(0.0))))
+    return cut.withColumn(name, F.when(number.isNull(), F.lit(-1)).otherwise(F.col("__sw_bucket")).cast("long")).drop("__sw_number", "__sw_bucket")
+
+
+def numbered(df: DataFrame, group: Column, key: Column, order: list[Column], amount: Column, name: str) -> DataFrame:
+    """Adds `name`: the sum of the whole-number `amount` over the rows of the group before this one in the order.
 
-    chunk must not decrease along the order; a null one comes first.  Sums of chunks are added up first, so that no task
+    The order begins with the whole-number key, nulls first.  Sums of chunks of keys are added up first, so that no task
     holds a whole group; rows are shuffled once, as the join has the window's partitioning.
     """
     # Keys without nulls: a null-safe join would shuffle the rows again.
     text = group.cast("string")
-    df = df.withColumns({"__sw_g": F.coalesce(F.concat(F.lit("="), text), F.lit("")), "__sw_c": F.coalesce(chunk.cast("long"), F.lit(-(1 << 63)).cast("long")), "__sw_a": amount})
+    df = chunked(df, key, "__sw_c").withColumns({"__sw_g": F.coalesce(F.concat(F.lit("="), text), F.lit("")), "__sw_a": amount})
     per_chunk = df.groupBy("__sw_g", "__sw_c").agg(F.sum("__sw_a").alias("__sw_s"))
     before = Window.partitionBy("__sw_g").orderBy("__sw_c").rowsBetween(Window.unboundedPreceding, -1)
     per_chunk = per_chunk.select("__sw_g", "__sw_c", F.coalesce(F.sum("__sw_s").over(before), F.lit(0)).alias("__sw_before"))

@@ -34,7 +34,7 @@ def brute_mix(rows, weights, epochs=1):
     out = []
     for s in chars:
         rate = mixing.UNIT * epochs * w[s] * sum(chars.values()) // (sum(w.values()) * chars[s])
-        at = int(hashlib.md5(f"{mixing.SEED}:{s or ''}".encode()).hexdigest()[:8], 16) % mixing.UNIT
+        at = int(hashlib.md5(f"{mixing.SEED}:{s or ''}".encode()).hexdigest()[:15], 16) % mixing.UNIT
         for r in sorted((r for r in rows if r[2] == s), key=lambda r: (r[0] is not None, r[0] or 0)):
             out += [(r[0], s, c + 1) for c in range((at + rate) // mixing.UNIT - at // mixing.UNIT)]
             at += rate
@@ -52,10 +52,43 @@ def test_mixing_equals_brute_force(spark):
         assert Counter((s, c) for _, s, c in got) == Counter((s, c) for _, s, c in brute_mix(rows, weights))
         assert Counter(g for g in got if g[0] is not None) == Counter(g for g in brute_mix(rows, weights) if g[0] is not None)
     assert mixing.mix(frame(spark, [])).count() == 0
+    assert mixing.mix(df, {"src0": 0, "b": 0, "c": 0, None: 0, "a": 0, "": 0}).filter("source is not null").count() == 0
+    assert mixing.mix(frame(spark, rows[:1]), {rows[0][2]: 0}).count() == 0
     twice = mixing.mix(frame(spark, rows[:50] * 2))
     assert abs(twice.count() - len(brute_mix(rows[:50] * 2, mixing.WEIGHTS))) == 0
 
 
+@pytest.mark.parametrize("kind", ["dense", "hashed", "ties"])
+def test_prefix_sums_in_chunks_equal_brute_force(spark, kind, monkeypatch):
+    from stackweave.llm import shared
+
+    monkeypatch.setattr(shared, "CHUNK_ROWS", 50)
+    rng = random.Random(21)
+    ids = {"dense": list(range(1000)), "hashed": [rng.randrange(-(1 << 63), 1 << 63) for _ in range(1000)], "ties": [7] * 600 + list(range(400))}[kind]
+    rows = [(i, rng.choice(["a", None]), n, 10**13 + rng.randrange(9)) for n, i in enumerate(ids)] + [(None, "a", -1, 5)]
+    df = spark.createDataFrame(rows, "k long, g string, n int, x long")
+    chunks = shared.chunked(df, F.col("k"), "c").groupBy("c").count().collect()
+    assert len(chunks) > 10 and max(r["count"] for r in chunks) < (200 if kind != "ties" else 700)
+    got = shared.numbered(df, F.col("g"), F.col("k"), [F.col("k").asc_nulls_first(), F.col("n")], F.col("x").cast("decimal(28,0)"), "before").collect()
+    want, total = {}, {"a": 0, None: 0}
+    for k, g, n, x in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[2])):
+        want[n], total[g] = total[g], total[g] + x
+    assert {r.n: int(r.before) for r in got} == want
+
+
+def test_a_sessions_own_batch_size_stays(spark):
+    from stackweave.llm import shared
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "16m")
+        shared.small_batches(spark)
+        assert spark.conf.get(name) == "16m" and html_blocks.main_text(spark.createDataFrame([(1, "u", "<p>x")], "page_id long, url string, html string")).count() == 1
+    finally:
+        spark.conf.set(name, before)
+
+
 # HTML
 
 
@@ -313,6 +346,94 @@ def test_knapsack_equals_brute_force():
         assert (counts * price).sum() == pytest.approx(best)
 
 
+def histograms():
+    rng = np.random.default_rng(1)
+    made = {"log-normal": rng.lognormal(5.3, 1, 30000), "uniform": rng.integers(1, 2048, 30000), "short": rng.lognormal(4, 0.7, 30000), "near a third": rng.normal(700, 60, 30000), "two peaks": np.r_[rng.normal(1100, 150, 15000), rng.normal(400, 80, 15000)], "few": rng.integers(1, 2048, 40)}
+    return {k: np.bincount(-(-np.clip(v.astype(int), 1, 2047) // 8), minlength=257)[1:257] for k, v in made.items()}
+
+
+def plain_best_fit(demand, room):
+    """Best-fit decreasing, one piece after the other."""
+    import bisect
+
+    free, bins = [], 0
+    for u in range(len(demand), 0, -1):
+        for _ in range(int(demand[u - 1])):
+            at = bisect.bisect_left(free, u)
+            if at < len(free):
+                space = free.pop(at)
+            else:
+                space, bins = room, bins + 1
+            if space > u:
+                bisect.insort(free, space - u)
+    return bins
+
+
+@pytest.mark.parametrize("name", sorted(histograms()))
+def test_packing_plan_beats_best_fit_and_meets_its_bound(name):
+    import time
+
+    demand = histograms()[name]
+    plan = packing.pack_counts(demand, 256)
+    held = np.zeros(256, np.int64)
+    for config, n in plan:
+        assert sum(u * k for u, k in config) <= 256
+        for u, k in config:
+            held[u - 1] += n * k
+    assert (held == demand).all()
+    bins, plain = sum(n for _, n in plan), plain_best_fit(demand, 256)
+    assert bins <= plain and sum(packing.best_fit(demand, 256).values()) == plain
+    x, bound = packing.solve(demand, 256)
+    covered = np.zeros(256)
+    for config, n in x.items():
+        for u, k in config:
+            covered[u - 1] += n * k
+    assert (covered >= demand * (1 - 1e-9)).all()
+    assert bound <= sum(x.values()) + 1e-6 and bound >= (demand * np.arange(1, 257)).sum() / 256 - 1e-6 and bins >= bound - 1e-6
+    if name not in ("near a third", "few"):
+        assert sum(x.values()) <= 1.01 * bound
+    if name in ("near a third", "two peaks"):
+        assert bins < plain  # here the LP wins
+    began = time.perf_counter()
+    many = packing.pack_counts(demand * 10**6, 256)
+    assert time.perf_counter() - began < 30 and sum(n for _, n in many) <= bins * 10**6
+
+
+def test_packing_bound_and_plan_against_the_optimum():
+    """Small cases, whose least number of bins an exhaustive search finds."""
+    from functools import lru_cache
+
+    def optimum(items, room):
+        @lru_cache(None)
+        def least(left):
+            if not left:
+                return 0
+            first, rest = left[0], left[1:]
+            best = len(left)
+
+            def fill(space, i, chosen):
+                nonlocal best
+                kept_ = tuple(x for j, x in enumerate(rest) if j not in chosen)
+                best = min(best, 1 + least(kept_))
+                for j in range(i, len(rest)):
+                    if rest[j] <= space and (j == i or rest[j] != rest[j - 1] or j - 1 in chosen):
+                        fill(space - rest[j], j + 1, chosen | {j})
+
+            fill(room - first, 0, frozenset())
+            return best
+
+        return least(tuple(sorted(items, reverse=True)))
+
+    rng = random.Random(17)
+    for _ in range(25):
+        items = [rng.randint(2, 9) for _ in range(rng.randint(1, 9))]
+        demand = np.bincount(items, minlength=11)[1:11]
+        _, bound = packing.solve(demand, 10)
+        bins = sum(n for _, n in packing.pack_counts(demand, 10))
+        best = optimum(items, 10)
+        assert np.ceil(bound - 1e-6) <= best <= bins <= best + 1
+
+
 # Media
 
 
