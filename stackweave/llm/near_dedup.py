@@ -1,15 +1,17 @@
 """Near duplicates by SimHash and a binary-trie self-join.
 
-Signature: 128 bits over the set of a document's words.  Candidates share the first bits of at
-least one of several random bit orders, both numbers set from the count of signatures (plan); each
-order makes one trie, whose subtries below that prefix are joined with themselves: node pairs go down together, add up their differing bits, and end when
-the sum passes `budget`.  Every pair that is within the budget and shares a prefix is found; no
-group is capped.  The recall over all pairs within the budget is measured against brute force in
-the tests.
-
-Edge cases: a null, empty or wordless text has no signature and no duplicates; a null doc_id can't
+Signature: 128 bits over the set of a document's words.  All pairs of signatures within `budget` differing bits are
+found, whatever the size of the table: a fixed order of the bits is cut into blocks, and each block gets an error budget so that
+a pair can't exceed all of them without exceeding the whole budget (pigeonhole).  For each block there is a binary trie whose
+order begins with the block's bits; it is joined with itself.  Pairs of nodes go down together, add up their differing
+bits, and end when the sum passes the block's budget within the block, or the whole one below it.  The tries' top levels
+are traversed first: a task gets pairs of top nodes with the bits in which they differ.  How many blocks there
+are depends on the number of signatures and only changes the cost; no pair depends on other documents, and no group
+is capped.
+
+Edge cases: a null, empty or wordless text has no signature and no duplicates; an empty table gives no rows; a null doc_id can't
 be named and is left out; rows that repeat a doc_id are one document if their words agree, else
-each of their texts links to it; other columns are ignored, whatever their names.
+each of their texts links to it; texts of any length are taken whole; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,10 +29,11 @@ from .words import ROW_BITS, segment
 
 BITS = 128
 BUDGET = 22
-TYPICAL = 0.1  # share of bits in which near copies differ
-MISSED = 0.002  # of the pairs that differ so, the share that no trie may bring together
-LEAF = 64
-#: Roots with more rows first connect their rows to a few of them (stars), so that thousands of copies aren't compared pair by pair.
+LEAF = 128
+#: Node pairs that are taken down at once.
+FRONTIER = 1 << 16
+#: Of a block's bits, those that make a root of stars; a root with more rows first connects its rows to a few of them (stars), so that thousands of copies aren't compared pair by pair.
+STAR_BITS = 14
 STAR_ROWS = 48
 STAR_ROUNDS = 4
 _LANES = ((np.arange(256)[:, None] >> np.arange(8)[None, :] & 1).astype(np.uint64) << (np.arange(8, dtype=np.uint64) * 8)[None, :]).sum(1).astype(np.uint64)
@@ -88,28 +91,56 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(has)), pa.array(sig[:, 0]), pa.array(sig[:, 1])], ["doc_id", "s0", "s1"])
 
 
-def plan(signatures_: int) -> tuple[int, int]:
-    """(prefix bits, tries): about 16 unrelated signatures share a prefix, and as many tries as keep the recall."""
-    prefix_bits = max(14, int(signatures_).bit_length() - 4)
-    return prefix_bits, math.ceil(math.log(MISSED) / math.log(1 - (1 - TYPICAL) ** prefix_bits))
+def budgets(blocks: int, budget: int) -> list[int]:
+    """Error budgets of the blocks: a pair that exceeds every one has at least sum(e + 1) > budget differing bits."""
+    low, more = divmod(max(0, budget - blocks + 1), blocks)
+    return [low + (i < more) for i in range(blocks)]
 
 
-def bit_orders(tries: int, bits: int = BITS) -> np.ndarray:
-    rng = np.random.default_rng(20240229)
-    return np.stack([rng.permutation(bits) for _ in range(tries)])
+def within(bits: int, errors: int) -> int:
+    """How many values differ from one of `bits` bits in at most `errors`."""
+    return sum(math.comb(bits, e) for e in range(errors + 1))
 
 
-def _orders(tries: int, prefix_bits: int):
+def plan(signatures_: int, budget: int = BUDGET) -> tuple[list[tuple[int, int]], int]:
+    """(bits, error budget) of each block, and the top levels that are split over tasks: the cheapest for so many signatures.
+
+    The cost of a trie is the number of node pairs within the block's budget where the signatures part, or where the block ends.
+    """
+    deep = max(1, int(signatures_).bit_length())
+
+    def blocks(m: int) -> list[tuple[int, int]]:
+        return [(BITS // m + (i < BITS % m), e) for i, e in enumerate(budgets(m, budget))]
+
+    def cost(m: int) -> float:
+        return sum(within(min(bits, deep), e) * max(1.0, signatures_ / 2**bits) for bits, e in blocks(m))
+
+    best = min(range(4, 17), key=cost)
+    return blocks(best), max(2 + (deep > 16), deep - 20)
+
+
+def bit_order(bits: int = BITS) -> np.ndarray:
+    return np.random.default_rng(20240229).permutation(bits)
+
+
+def _nodes(blocks: list[tuple[int, int]], top: int):
+    """Each signature once for every pair of top nodes, within the block's budget, that its node belongs to."""
+
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders = bit_orders(tries)
+        order = bit_order()
         for b in batches:
             sig = np.stack([b.column(1).to_numpy(), b.column(2).to_numpy()], 1).view(np.uint64)
             bits = np.unpackbits(sig.view(np.uint8).reshape(len(sig), -1), axis=1, bitorder="little")
-            for t, order in enumerate(orders):
+            at = 0
+            for n, (width, errors) in enumerate(blocks):
                 # Most significant bit first, so that sorting by (p0, p1) is the trie's order.
-                p = np.ascontiguousarray(np.packbits(bits[:, order], axis=1)).view(">u8").astype(np.uint64)
-                key = (np.int64(t) << np.int64(prefix_bits)) | (p[:, 0] >> np.uint64(64 - prefix_bits)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0), pa.array(p[:, 0].view(np.int64)), pa.array(p[:, 1].view(np.int64))], ["key", "rep", "p0", "p1"])
+                p = np.ascontiguousarray(np.packbits(bits[:, np.roll(order, -at)], axis=1)).view(">u8").astype(np.uint64)
+                node = (p[:, 0] >> np.uint64(64 - top)).astype(np.int64)
+                at += width
+                for mask in range(1 << top):
+                    if mask.bit_count() <= errors:
+                        key = (np.int64(n) << np.int64(2 * top)) | (np.minimum(node, node ^ mask) << np.int64(top)) | np.maximum(node, node ^ mask)
+                        yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0), pa.array(p[:, 0].view(np.int64)), pa.array(p[:, 1].view(np.int64))], ["key", "rep", "p0", "p1"])
 
     return expand
 
@@ -137,71 +168,108 @@ def stars(p: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int, rounds: in
     return label, *(np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
 
 
-def trie_pairs(p: np.ndarray, root_lo: np.ndarray, root_hi: np.ndarray, depth: int, budget: int, leaf: int = LEAF, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs within `budget` differing bits below each root.  p: (n, 2) uint64, sorted below each root; a root is
-    the rows lo..hi that agree in the first `depth` bits.  A node is a range of rows that agree in the bits so far.
+def _middle(p: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int) -> np.ndarray:
+    """The first row of each range lo..hi whose bit at `depth` is set."""
+    word, at = divmod(depth, 64)
+    shift, lo, hi = np.uint64(63 - at), lo.copy(), hi.copy()
+    while (open_ := np.flatnonzero(lo < hi)).size:
+        mid = (lo[open_] + hi[open_]) >> 1
+        one = (p[mid, word] >> shift & np.uint64(1)).astype(bool)
+        hi[open_[one]] = mid[one]
+        lo[open_[~one]] = mid[~one] + 1
+    return lo
+
+
+def trie_pairs(
+    p: np.ndarray, nodes: tuple[np.ndarray, ...], depth: int, block: tuple[int, int], budget: int, leaf: int = LEAF, label: np.ndarray | None = None, frontier: int = FRONTIER
+) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs within `budget` differing bits below each pair of nodes.  p: (n, 2) uint64; nodes: (a_lo, a_hi, b_lo,
+    b_hi, differing bits so far), where a node is a range of rows that agree in the first `depth` bits, sorted.
+    block: (bits, errors) that a pair may have at most in the first bits.
     With labels, a pair of nodes whose rows all have one label is skipped."""
     turns = None if label is None else np.cumsum(np.r_[0, label[1:] != label[:-1]])
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    a_lo, a_hi, b_lo, b_hi = root_lo, root_hi, root_lo, root_hi
-    err = np.zeros(len(root_lo), np.int64)
-    while len(err):
-        if turns is not None:
+    p0, p1 = (np.ascontiguousarray(p[:, i]) for i in (0, 1))
+    todo = [(depth, nodes)]
+    while todo:
+        depth, (a_lo, a_hi, b_lo, b_hi, err) = todo.pop()
+        alive = (a_hi > a_lo) & (b_hi > b_lo) & (err <= (block[1] if depth <= block[0] else budget)) & ~((a_lo == b_lo) & (a_hi - a_lo < 2))
+        a_lo, a_hi, b_lo, b_hi, err = (x[alive] for x in (a_lo, a_hi, b_lo, b_hi, err))
+        if turns is not None and len(err):
             known = (turns[a_lo] == turns[a_hi - 1]) & (turns[b_lo] == turns[b_hi - 1]) & (label[a_lo] == label[b_lo])
             a_lo, a_hi, b_lo, b_hi, err = (x[~known] for x in (a_lo, a_hi, b_lo, b_hi, err))
-            if not len(err):
-                break
+        if len(err) > frontier:
+            for i in range(0, len(err), frontier):
+                todo.append((depth, tuple(x[i : i + frontier] for x in (a_lo, a_hi, b_lo, b_hi, err))))
+            continue
+        if not len(err):
+            continue
         same = a_lo == b_lo
-        work = (a_hi - a_lo) * (b_hi - b_lo)
-        done = (work <= leaf) | (depth == BITS)
+        done = ((a_hi - a_lo) * (b_hi - b_lo) <= leaf) | (depth == BITS)
         if done.any():
-            found += _compare(p, a_lo[done], a_hi[done], b_lo[done], b_hi[done], same[done], budget)
+            found += _compare(p0, p1, a_lo[done], a_hi[done], b_lo[done], b_hi[done], same[done], budget)
         a_lo, a_hi, b_lo, b_hi, err, same = (x[~done] for x in (a_lo, a_hi, b_lo, b_hi, err, same))
         if not len(err):
-            break
-        word, at = divmod(depth, 64)
-        ones = np.r_[0, np.cumsum((p[:, word] >> np.uint64(63 - at)) & np.uint64(1)).astype(np.int64)]
-        a_mid, b_mid = a_hi - (ones[a_hi] - ones[a_lo]), b_hi - (ones[b_hi] - ones[b_lo])
+            continue
+        a_mid = _middle(p, a_lo, a_hi, depth)
         other = ~same
-        a_lo, a_hi, b_lo, b_hi, err = (
-            np.concatenate(x)
-            for x in (
-                (a_lo, a_mid, a_lo, a_mid[other]),
-                (a_mid, a_hi, a_mid, a_hi[other]),
-                (b_lo, b_mid, b_mid, b_lo[other]),
-                (b_mid, b_hi, b_hi, b_mid[other]),
-                (err, err, err + 1, err[other] + 1),
-            )
+        b_mid = a_mid.copy()
+        b_mid[other] = _middle(p, b_lo[other], b_hi[other], depth)
+        children = (
+            (a_lo, a_mid, a_lo, a_mid[other]),
+            (a_mid, a_hi, a_mid, a_hi[other]),
+            (b_lo, b_mid, b_mid, b_lo[other]),
+            (b_mid, b_hi, b_hi, b_mid[other]),
+            (err, err, err + 1, err[other] + 1),
         )
-        alive = (a_hi > a_lo) & (b_hi > b_lo) & (err <= budget) & ~((a_lo == b_lo) & (a_hi - a_lo < 2))
-        a_lo, a_hi, b_lo, b_hi, err = (x[alive] for x in (a_lo, a_hi, b_lo, b_hi, err))
-        depth += 1
+        todo.append((depth + 1, tuple(np.concatenate(x) for x in children)))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
-def _compare(p, a_lo, a_hi, b_lo, b_hi, same, budget, step: int = 1 << 21):
-    out, size = [], (a_hi - a_lo) * (b_hi - b_lo)
-    total = np.cumsum(size)
+def _compare(p0, p1, a_lo, a_hi, b_lo, b_hi, same, budget, step: int = 1 << 16):
+    """The pairs of a row of each node a and one of its node b that are within the budget; pieces of about `step` pairs stay in the cache."""
+    out = []
+    many = a_hi - a_lo
+    node = np.repeat(np.arange(len(many), dtype=np.int32), many)
+    rows = (np.arange(len(node)) + np.repeat(a_lo - (np.cumsum(many) - many), many)).astype(np.int32)
+    width = (b_hi - b_lo)[node]
+    total = np.cumsum(width)
+    first = b_lo[node] - (total - width)
     i = 0
-    while i < len(size):
-        base = total[i - 1] if i else 0
+    while i < len(rows):
+        base = int(total[i - 1]) if i else 0
         j = max(i + 1, int(np.searchsorted(total, base + step, "right")))
-        s = size[i:j]
-        node = np.repeat(np.arange(i, j), s)
-        nth = np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s)
-        width = (b_hi - b_lo)[node]
-        x, y = a_lo[node] + nth // width, b_lo[node] + nth % width
-        ok = ~same[node] | (x < y)
-        x, y = x[ok], y[ok]
-        bits = np.bitwise_count(p[x, 0] ^ p[y, 0]).astype(np.int64) + np.bitwise_count(p[x, 1] ^ p[y, 1])
-        near = bits <= budget
-        out.append((x[near], y[near]))
+        w = width[i:j]
+        x = np.repeat(rows[i:j], w)
+        y = (np.arange(base, int(total[j - 1])) + np.repeat(first[i:j], w)).astype(np.int32)
+        # Most unrelated pairs exceed the budget in the last 64 bits alone.
+        bits = np.bitwise_count(p1[x] ^ p1[y])
+        at = np.flatnonzero(bits <= budget)
+        x, y, bits = x[at], y[at], bits[at]
+        near = bits + np.bitwise_count(p0[x] ^ p0[y]) <= budget
+        if same[node[i:j]].any():
+            near &= ~np.repeat(same[node[i:j]], w)[at] | (x < y)
+        out.append((x[near].astype(np.int64), y[near].astype(np.int64)))
         i = j
     return out
 
 
+def _dense(p: np.ndarray, begin: np.ndarray, end: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stars below the roots of STAR_BITS bits within the ranges that have more than STAR_ROWS rows."""
+    prefix = p[:, 0] >> np.uint64(64 - STAR_BITS)
+    inside = np.zeros(len(p) + 1, np.int64)
+    np.add.at(inside, begin, 1)
+    np.add.at(inside, end, -1)
+    turn = prefix[1:] != prefix[:-1]
+    turn[begin[begin > 0] - 1] = True
+    lo = np.flatnonzero(np.r_[True, turn])
+    hi = np.r_[lo[1:], len(p)]
+    many = (hi - lo > STAR_ROWS) & (np.cumsum(inside)[lo] > 0)
+    return stars(p, lo[many], hi[many], budget)
+
+
 def forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The edges (node, least node of its component) that connect what the pairs x, y connect."""
     if not len(x):
@@ -223,7 +291,7 @@ def forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[away], nodes[label[away]]
 
 
-def _join_tries(prefix_bits: int, budget: int):
+def _join_tries(blocks: list[tuple[int, int]], top: int, budget: int):
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
@@ -232,14 +300,22 @@ def _join_tries(prefix_bits: int, budget: int):
             order = np.lexsort((p1, p0, key))
             key, rep = key[order], rep[order]
             p = np.stack([p0[order], p1[order]], 1)
-            lo = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            hi = np.r_[lo[1:], len(key)]
-            more = hi - lo > 1
-            lo, hi = lo[more], hi[more]
-            large = hi - lo > STAR_ROWS
-            label, x0, y0 = stars(p, lo[large], hi[large], budget)
-            x, y = trie_pairs(p, lo, hi, prefix_bits, budget, label=label)
-            x, y = forest(rep[np.r_[x0, x]], rep[np.r_[y0, y]])
+            begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            end = np.r_[begin[1:], len(key)]
+            block, u, v = key[begin] >> (2 * top), key[begin] >> top & ((1 << top) - 1), key[begin] & ((1 << top) - 1)
+            node = (p[:, 0] >> np.uint64(64 - top)).astype(np.int64)
+            # The lesser node's rows come first.
+            split = begin + np.add.reduceat((node == np.repeat(u, end - begin)).astype(np.int64), begin)
+            alone = u == v
+            label, x0, y0 = _dense(p, begin[alone], end[alone], budget)
+            xs, ys = [x0], [y0]
+            for n in np.unique(block):
+                own = block == n
+                nodes = (begin[own], np.where(alone, end, split)[own], np.where(alone, begin, split)[own], end[own], np.bitwise_count(u ^ v)[own].astype(np.int64))
+                x, y = trie_pairs(p, nodes, top, blocks[n], budget, label=label)
+                xs.append(x)
+                ys.append(y)
+            x, y = forest(rep[np.concatenate(xs)], rep[np.concatenate(ys)])
             return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["src", "dst"])
 
         def columns(bs: list[pa.RecordBatch]) -> list[np.ndarray]:
@@ -254,7 +330,7 @@ def _join_tries(prefix_bits: int, budget: int):
                 rows += b.num_rows
             if rows >= 400_000:
                 cols = columns(held)
-                cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last trie may go on in the next batch
+                cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last pair of nodes may go on in the next batch
                 if cut:
                     yield work([c[:cut] for c in cols])
                     rest = pa.Table.from_batches(held).slice(cut)
@@ -291,9 +367,9 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = kept(base.filter("doc_id is not null").mapInArrow(_sign, SIGNATURE), "signatures")
     reps = kept(signed.groupBy("s0", "s1").agg(F.min("doc_id").alias("rep")), "reps").select("rep", "s0", "s1")
-    prefix_bits, tries = plan(reps.count())
-    rows = reps.mapInArrow(_orders(tries, prefix_bits), "key long, rep long, p0 long, p1 long")
-    edges = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_join_tries(prefix_bits, budget), "src long, dst long")
+    blocks, top = plan(reps.count(), budget)
+    rows = reps.mapInArrow(_nodes(blocks, top), "key long, rep long, p0 long, p1 long")
+    edges = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_join_tries(blocks, top, budget), "src long, dst long")
     same = signed.join(reps, ["s0", "s1"]).select("doc_id", "rep")
     linked = components(edges.unionByName(same.filter("doc_id != rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))))
     members = linked.select(F.col("node").alias("doc_id"), F.col("root").alias("kept_id"))
