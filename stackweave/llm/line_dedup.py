@@ -3,22 +3,21 @@
 A line is compared by its trimmed text (its 64-bit hash).  A pair of documents is aligned by patience
 diff: lines that are unique in both documents are matched along the longest increasing sequence,
 between them again, and matches grow to their equal neighbours.  Blocks of matched lines with at
-least min_chars characters are deleted from the later document.  A line's first holder never loses
-it through a pair that the line made.
+least min_chars characters are deleted from the later document: exactly what the alignments with all
+earlier documents delete.  A line's first holder never loses it through a pair that the line made.
 
-`holders="all"`, as op6 and the pipeline have it, deletes exactly what the alignments with all earlier documents
-delete.  Evidence are the shortest runs of lines that together have min_chars characters, so short lines count too.  As lines of one document only match nothing, a document is first reduced
+Documents that overlap are found through the hashes of shared lines, and of the shortest runs of lines that together have
+min_chars characters, so passages in short lines count too.  As lines of one document only match nothing, a document is first reduced
 to its skeleton: its repeated lines, and a gap where others stand.  Documents of one skeleton align
 alike, so skeletons are aligned, each as the earliest of its documents, and what comes out is the
-least doc_id from which on a line goes.  A run that its first holder leaves undeleted is
-aligned with the next holders, four times as many in each round, until it is deleted or
-none is left.  `holders="first"` stops at the least doc_id that holds each line, and leaves lines that
-cross in that alignment, or that occur twice.
-
-Edge cases: null doc_ids and null or empty texts are returned as they are; rows that repeat a
-doc_id are aligned each with the earlier documents, never with one another, and a line deleted at
-a place of one is deleted there in all; a text that loses all its lines becomes empty (the pipeline
-drops it); lines and texts of any length are taken whole; further columns pass through.
+least doc_id from which on a line goes.  Rare evidence counts first: the first rounds take the first holder of each run
+and some eight more, which are all holders of a rare one.  A run that these leave undeleted is aligned with further holders,
+four times as many in each round, until it is deleted or none is left; so frequent lines make no pairs that aren't needed, and nothing is capped.
+
+Edge cases: null doc_ids and null or empty texts are returned as they are; an empty table gives no rows; rows that repeat a
+doc_id are aligned each with the earlier documents, never with one another, and lose just their own text's lines;
+rows that repeat doc_id and text lose the same lines; a text that loses all its lines becomes empty (the pipeline
+drops it); lines and texts of any length are taken whole; further columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,14 +28,14 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import kept, small_batches
 
 MIN_CHARS = 20
-#: The ranks of holders that a round takes grow by this factor.
-GROWTH = 4
+#: How many holders of a run, beside the first, a round takes, and by what factor they grow from round to round.
+HOLDERS, GROWTH = 8, 4
 NEVER = (1 << 63) - 1
 #: Of the rolling hash of runs of lines.
 PRIME, BASE = (1 << 61) - 1, 0x1F3D5B79A2C4E681 % ((1 << 61) - 1)
@@ -133,16 +132,6 @@ def evidence(seq: list, size: list, min_chars: int) -> list[tuple[int, int, int]
     return [((rolled[j] - rolled[i] * power[j - i]) % PRIME, i, j) for i, j in sorted(runs)]
 
 
-def _align(min_chars: int):
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            old, new, size = (b.column(i).to_pylist() for i in (1, 2, 3))
-            gone = [common_blocks(x, y, z, min_chars) for x, y, z in zip(old, new, size)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(gone, pa.list_(pa.int32()))], ["__sw_id", "__sw_gone"])
-
-    return align
-
-
 def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
     def cut(t, g):
         if t is None or g is None:
@@ -153,21 +142,6 @@ def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
     return pd.Series([cut(t, g) for t, g in zip(text, gone)], dtype=object)
 
 
-def deletions(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(__sw_id, __sw_gone): the documents that lose lines to the first holders of their lines, and the numbers of these lines."""
-    lines = F.transform(F.split(F.col("text").cast("string"), "\n"), lambda x: F.trim(x))
-    own = docs.select(F.col("doc_id").cast("long").alias("__sw_id"), lines.alias("__sw_l")).filter("__sw_id is not null and __sw_l is not null")
-    own = own.select("__sw_id", F.transform("__sw_l", lambda x: F.xxhash64(x)).alias("__sw_h"), F.transform("__sw_l", lambda x: F.length(x)).alias("__sw_n"))
-    each = own.select("__sw_id", F.explode(F.arrays_zip("__sw_h", "__sw_n")).alias("x")).filter(F.col("x.__sw_n") >= min_chars).select("__sw_id", F.col("x.__sw_h").alias("h"))
-    first = each.withColumn("__sw_first", F.min("__sw_id").over(Window.partitionBy("h")))
-    pairs = first.filter("__sw_first < __sw_id").select("__sw_id", "__sw_first").distinct()
-    # Rows that repeat a doc_id with the same lines make the same pair.
-    old = own.select(F.col("__sw_id").alias("__sw_first"), F.col("__sw_h").alias("__sw_old")).dropDuplicates(["__sw_first"])
-    joined = pairs.join(old, "__sw_first").join(own, "__sw_id").select("__sw_id", "__sw_old", "__sw_h", "__sw_n")
-    found = joined.mapInArrow(_align(min_chars), "__sw_id long, __sw_gone array<int>").filter(F.size("__sw_gone") > 0)
-    return found.groupBy("__sw_id").agg(F.array_distinct(F.flatten(F.collect_list("__sw_gone"))).alias("__sw_gone"))
-
-
 def _keys(min_chars: int):
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each skeleton its evidence keys, each with the last of the ids from which on its lines are deleted so far."""
@@ -206,8 +180,8 @@ def _align_skeletons(min_chars: int):
     return align
 
 
-def all_deletions(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(__sw_id, __sw_gone) from the alignments with all earlier documents."""
+def deletions(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(__sw_id, __sw_c, __sw_gone): doc_id, hash of the text and the numbers of the lines that the alignments with all earlier documents delete."""
     lines = F.transform(F.split(F.col("text").cast("string"), "\n"), lambda x: F.trim(x))
     own = docs.select(F.col("doc_id").cast("long").alias("__sw_id"), F.col("text").cast("string").alias("__sw_x"), lines.alias("__sw_l")).filter("__sw_id is not null and __sw_l is not null")
     own = own.select("__sw_id", F.xxhash64("__sw_x").alias("__sw_c"), F.size("__sw_l").alias("__sw_of"), F.posexplode(F.transform("__sw_l", lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n")))).alias("p", "x"))
@@ -218,7 +192,7 @@ def all_deletions(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     gap = F.array(F.lit(None).cast("long"))
     seq = F.flatten(F.transform("x", lambda x, i: F.when(x.p == before(x, i) + 1, F.array(x.h)).otherwise(F.concat(gap, F.array(x.h)))))
     seq = F.when(F.element_at("x", -1).p == F.col("__sw_of") - 1, seq).otherwise(F.concat(seq, gap))
-    rows = rows.select("__sw_id", F.col("x.p").alias("__sw_p"), seq.alias("__sw_seq"), F.col("x.n").alias("__sw_n"))
+    rows = rows.select("__sw_id", "__sw_c", F.col("x.p").alias("__sw_p"), seq.alias("__sw_seq"), F.col("x.n").alias("__sw_n"))
     # xxhash64 passes over nulls, so gaps go in as text.
     rows = kept(rows.withColumn("__sw_s", F.xxhash64(F.transform("__sw_seq", lambda x: F.coalesce(x.cast("string"), F.lit("-"))))), "line-rows")
     skeletons = kept(rows.groupBy("__sw_s").agg(F.min("__sw_id").alias("__sw_m"), F.max("__sw_id").alias("__sw_top"), F.first("__sw_seq").alias("__sw_seq"), F.first("__sw_n").alias("__sw_n")), "line-skeletons")
@@ -227,39 +201,44 @@ def all_deletions(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     key_schema = "__sw_s long, __sw_m long, __sw_top long, __sw_key long, __sw_worst long"
     cols = ["__sw_s", "__sw_m", "__sw_top", "__sw_seq", "__sw_n"]
     holders = skeletons.select(*cols, none).mapInArrow(_keys(min_chars), key_schema)
-    by_key = Window.partitionBy("__sw_key").orderBy("__sw_m", "__sw_s")
-    holders = holders.withColumn("__sw_rank", F.row_number().over(by_key)).withColumn("__sw_last", F.max("__sw_top").over(Window.partitionBy("__sw_key"))).withColumn("__sw_first", F.min("__sw_m").over(Window.partitionBy("__sw_key")))
-    holders = kept(holders.filter("__sw_first < __sw_last"), "line-holders")
-    held = holders.select("__sw_key", "__sw_rank", F.col("__sw_s").alias("__sw_old"), F.col("__sw_m").alias("__sw_t"))
+    per_key = holders.groupBy("__sw_key").agg(F.min(F.struct("__sw_m", "__sw_s")).alias("__sw_first"), F.max("__sw_top").alias("__sw_last"), F.count(F.lit(1)).alias("__sw_of"))
+    holders = holders.join(per_key.filter("__sw_first.__sw_m < __sw_last"), "__sw_key")
+    # Round 0 takes the first holder, the others take theirs from a hash, so that no task has to order all holders of a line.
+    part = F.pmod(F.xxhash64("__sw_key", "__sw_s"), F.lit(1 << 30)) / float(1 << 30) * F.col("__sw_of") / HOLDERS
+    later = F.lit(1) + F.greatest(F.lit(0.0), F.ceil(F.log(float(GROWTH), F.greatest(part, F.lit(1.0))))).cast("int")
+    first = (F.col("__sw_first.__sw_m") == F.col("__sw_m")) & (F.col("__sw_first.__sw_s") == F.col("__sw_s"))
+    holders = kept(holders.withColumn("__sw_round", F.when(first, 0).otherwise(later)).drop("__sw_first", "__sw_last", "__sw_of"), "line-holders")
+    held = holders.select("__sw_key", "__sw_round", F.col("__sw_s").alias("__sw_old"), F.col("__sw_m").alias("__sw_t"))
+    least = kept(held.groupBy("__sw_key", "__sw_round").agg(F.min("__sw_t").alias("__sw_t")), "line-least")
     useful = F.col("__sw_t") < F.least("__sw_worst", "__sw_top")
     still = holders.select("__sw_s", "__sw_top", "__sw_key", "__sw_worst")
-    done, low, high = None, 1, 2
+    done, round_ = None, 0
     while True:
-        part = held.filter((F.col("__sw_rank") >= low) & (F.col("__sw_rank") < high))
-        pairs = still.join(part, "__sw_key").filter(useful).select("__sw_s", "__sw_old", "__sw_t").distinct()
+        pairs = still.join(held.filter(F.col("__sw_round") == round_), "__sw_key").filter(useful).select("__sw_s", "__sw_old", "__sw_t").distinct()
         old = skeletons.select(F.col("__sw_s").alias("__sw_old"), F.col("__sw_seq").alias("__sw_oldseq"))
         joined = pairs.join(old, "__sw_old").join(skeletons.select("__sw_s", "__sw_seq", "__sw_n"), "__sw_s").select("__sw_s", "__sw_t", "__sw_oldseq", "__sw_seq", "__sw_n")
         found = joined.mapInArrow(_align_skeletons(min_chars), "__sw_s long, __sw_j int, __sw_t long")
         found = found if done is None else found.unionByName(done)
         done = kept(found.groupBy("__sw_s", "__sw_j").agg(F.min("__sw_t").alias("__sw_t")), "line-done")
-        low, high = high, high * GROWTH
+        round_ += 1
         by_skeleton = done.groupBy("__sw_s").agg(F.map_from_entries(F.collect_list(F.struct("__sw_j", "__sw_t"))).alias("__sw_gone"))
         live = skeletons.join(still.select("__sw_s").distinct(), "__sw_s", "left_semi").join(by_skeleton, "__sw_s", "left").select(*cols, "__sw_gone")
-        still = live.mapInArrow(_keys(min_chars), key_schema).join(held.filter(F.col("__sw_rank") == low), "__sw_key").filter(useful)
+        left = least.filter(F.col("__sw_round") >= round_).groupBy("__sw_key").agg(F.min("__sw_t").alias("__sw_t"))
+        still = live.mapInArrow(_keys(min_chars), key_schema).join(left, "__sw_key").filter(useful)
         still = kept(still.select("__sw_s", "__sw_top", "__sw_key", "__sw_worst"), "line-open")
         if still.isEmpty():
             break
     gone = F.filter("__sw_p", lambda p, i: F.coalesce(F.element_at("__sw_gone", i), F.lit(NEVER)) < F.col("__sw_id"))
-    cut = rows.select("__sw_id", "__sw_s", "__sw_p").join(by_skeleton, "__sw_s").select("__sw_id", gone.alias("__sw_gone")).filter(F.size("__sw_gone") > 0)
-    return cut.groupBy("__sw_id").agg(F.array_distinct(F.flatten(F.collect_list("__sw_gone"))).alias("__sw_gone"))
+    cut = rows.select("__sw_id", "__sw_c", "__sw_s", "__sw_p").join(by_skeleton, "__sw_s").select("__sw_id", "__sw_c", gone.alias("__sw_gone")).filter(F.size("__sw_gone") > 0)
+    return cut.groupBy("__sw_id", "__sw_c").agg(F.array_distinct(F.flatten(F.collect_list("__sw_gone"))).alias("__sw_gone"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, holders: str = "first") -> DataFrame:
-    """docs with the lines deleted from `text`, and how many in `__sw_deleted`; holders: "all" earlier documents, or just the "first" of each line."""
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """docs with the lines deleted from `text`, and how many in `__sw_deleted`."""
     small_batches(docs.sparkSession)
-    cuts = {"all": all_deletions, "first": deletions}[holders](docs, min_chars)
-    joined = docs.join(cuts, F.col("doc_id").cast("long") == F.col("__sw_id"), "left")
+    same = (F.col("doc_id").cast("long") == F.col("__sw_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__sw_c"))
+    joined = docs.join(deletions(docs, min_chars), same, "left")
     hit = F.col("__sw_gone").isNotNull()
     once = F.pandas_udf(_without, "string").asNondeterministic()  # else a filter on text runs it a second time
     text = F.when(hit, once(F.when(hit, F.col("text")), F.col("__sw_gone"))).otherwise(F.col("text"))
-    return joined.withColumns({"text": text, "__sw_deleted": F.coalesce(F.size("__sw_gone"), F.lit(0))}).drop("__sw_id", "__sw_gone")
+    return joined.withColumns({"text": text, "__sw_deleted": F.coalesce(F.size("__sw_gone"), F.lit(0))}).drop("__sw_id", "__sw_c", "__sw_gone")

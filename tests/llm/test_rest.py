@@ -9,6 +9,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from test_line_holders import brute
+
 from stackweave.llm import html_blocks, line_dedup, media, mixing, packing, pii, quality
 
 SCHEMA = "doc_id long, text string, source string, rank int, score double, `count` int, key string"
@@ -192,28 +194,6 @@ def test_pii_collisions_take_another_attempt(spark):
 # Lines
 
 
-def brute_delete(rows, min_chars):
-    """Deleted line numbers by document, from all pairs that the definition makes."""
-    docs = {r[0]: [x.strip(" ") for x in r[1].split("\n")] for r in rows if r[0] is not None and r[1] is not None}
-    gone = defaultdict(set)
-    for d, lines in docs.items():
-        holders = {min(o for o, ls in docs.items() if x in ls) for x in lines if len(x) >= min_chars}
-        for o in holders - {d}:
-            matched = line_dedup.patience(docs[o], lines)
-            assert all(docs[o][i] == lines[j] for i, j in matched) and all(a < c and b < e for (a, b), (c, e) in zip(matched, matched[1:]))
-            runs, last = [], None
-            for i, j in matched:
-                if last == (i - 1, j - 1):
-                    runs[-1].append(j)
-                else:
-                    runs.append([j])
-                last = (i, j)
-            for run in runs:
-                if sum(len(lines[j]) for j in run) >= min_chars:
-                    gone[d] |= set(run)
-    return gone
-
-
 def test_line_dedup_equals_brute_force(spark):
     rng = random.Random(4)
     pool = ["line %d %s" % (i, "w" * rng.randint(0, 25)) for i in range(60)] + ["", "x"]
@@ -222,7 +202,7 @@ def test_line_dedup_equals_brute_force(spark):
     df = frame(spark, rows)
     got = line_dedup.dedup_lines(df)
     assert got.columns == [*df.columns, "__sw_deleted"]
-    gone = brute_delete(rows, 20)
+    _, gone = brute([r[:2] for r in rows], 20)
     by = {r.doc_id: r for r in got.collect()}
     for r in rows:
         if r[0] is not None and r[1] is not None:
@@ -521,7 +501,7 @@ def test_pipeline_against_its_parts(spark, tmp_path):
         docs = out
     good = {r.doc_id for r in quality.judged(spark.read.parquet(f"{tmp_path}/documents.parquet"), lab).collect() if r.keep}
     assert {r.doc_id for r in seen[0].collect()} == good
-    gone = brute_delete([(r.doc_id, r.text) for r in seen[0].collect()], 20)
+    _, gone = brute([(r.doc_id, r.text) for r in seen[0].collect()], 20)
     for r in seen[1].collect():
         first = next(x.text for x in seen[0].filter(F.col("doc_id") == r.doc_id).collect()) if gone[r.doc_id] else r.text
         assert r.text == "\n".join(x for j, x in enumerate(first.split("\n")) if j not in gone[r.doc_id]) and r.n_chars == len(r.text)
