@@ -2,12 +2,13 @@
 
 A page is cut into blocks at block-level tags.  First pass, each block by itself: its length, the
 share of its characters within links and the share of stop words give good, bad, near-good or
-short.  Second pass, in context: headings and short blocks near good text, then each undecided
+short; on a page without any good block the near-good ones are the best there is and become good.  Second pass, in context: headings and short blocks near good text, then each undecided
 block takes the label of its nearest decided neighbours (near-good needs one good neighbour, short
-needs both); a page's edges count as bad.  The good blocks are the text.
+needs both); a page's edges count as bad.  The good blocks are the text.  Tags are found by a scanner that
+goes over the page once, whatever its markup.
 
-Edge cases: a null or empty page has no block and an empty text; unclosed tags, comments and scripts
-end at the page's end; unknown entities stay as they are; a null page_id is a page as any other;
+Edge cases: a null or empty page has no block and an empty text; an empty table gives no rows; unclosed comments and scripts
+end at the page's end, where an unclosed tag is text, and an unclosed title is none; unknown entities stay as they are; a null page_id is a page as any other;
 repeated rows are repeated in the result; pages of any length are taken whole; further columns are
 ignored.
 """
@@ -31,9 +32,9 @@ LINKS_HIGH = 0.2
 HEADING_REACH = 200
 
 _STOPS = frozenset(STOP_WORDS.split())
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)[^>]*>|<[!?/][^>]*>")
+_NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9]*")
+_HIDDEN = frozenset("script style noscript template svg head".split())
+_LETTER = re.compile(r"[a-zA-Z0-9_]")
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol option p pre section select summary table tbody td textarea tfoot th thead tr ul".split()
@@ -42,12 +43,71 @@ _HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _FURNITURE = frozenset(("nav", "footer", "aside", "form", "select", "option"))
 
 
+def _close(page: str, low: str, name: str, at: int, none: set[str]) -> tuple[int, int]:
+    """(start, end) of the first `</name` tag from `at` on, or the page's end; names without a further one are noted."""
+    if name not in none:
+        i = low.find(f"</{name}", at)
+        while i >= 0:
+            end = i + len(name) + 2
+            while page[end : end + 1].isspace():
+                end += 1
+            if page[end : end + 1] == ">":
+                return i, end + 1
+            i = low.find(f"</{name}", end)
+        none.add(name)
+    return len(page), len(page)
+
+
+def tags(page: str) -> Iterator[tuple[str, str]]:
+    """(text before it, name of the tag or empty) in order; a closing tag's name begins with a slash, the last one's is empty.
+
+    Hidden elements, comments and declarations are tags without a name, hidden elements with their contents.  Whatever isn't found
+    once isn't looked for again, so each character is passed over a bounded number of times.
+    """
+    low, at, start, none = page.lower(), 0, 0, set()
+    if len(low) != len(page):  # a few capitals have longer small forms
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in page)
+    while (i := page.find("<", at)) >= 0:
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            yield page[start:i], ""
+            start = at = end + 3 if end >= 0 else len(page)
+            continue
+        m = _NAME.match(page, i + 1)
+        if not m and page[i + 1 : i + 2] not in ("!", "?", "/"):
+            at = i + 1
+            continue
+        end = page.find(">", i + 1)
+        if end < 0:  # no tag ends any more, and a comment goes to the page's end
+            comment = page.find("<!--", i)
+            yield page[start : comment if comment >= 0 else len(page)], ""
+            return
+        name = m.group().lower() if m else ""
+        yield page[start:i], "" if name in _HIDDEN else name
+        start = at = end + 1
+        if name in _HIDDEN and not _LETTER.match(page, m.end()):
+            start = at = _close(page, low, name, end + 1, none)[1]
+    yield page[start:], ""
+
+
+def page_title(page: str | None) -> str:
+    """The first title's text; none if it isn't closed."""
+    low = (page or "").lower()
+    if len(low) != len(page or ""):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in page)
+    i = low.find("<title")
+    while i >= 0 and _LETTER.match(low, i + 6):
+        i = low.find("<title", i + 6)
+    begin = low.find(">", i) if i >= 0 else -1
+    end = low.find("</title", begin) if begin >= 0 else -1
+    return " ".join(html.unescape(page[begin + 1 : end]).split()) if end >= 0 else ""
+
+
 def blocks(page: str | None) -> list[tuple[str, int, bool, bool]]:
     """(text, characters within links, heading, within furniture such as navigation) of each block that has text."""
     out: list[tuple[str, int, bool, bool]] = []
     if not page:
         return out
-    page = _HIDDEN.sub(" ", page)
     parts: list[str] = []
     state = {"linked": 0, "link": 0, "heading": False, "outside": 0, "breaks": 0}
 
@@ -64,20 +124,20 @@ def blocks(page: str | None) -> list[tuple[str, int, bool, bool]]:
             if state["link"]:
                 state["linked"] += len(" ".join(html.unescape(piece).split()))
 
-    at = 0
-    for m in _TAG.finditer(page):
-        take(page[at : m.start()])
-        at = m.end()
-        name = (m.group(2) or "").lower()
-        closing = m.group(1) == "/"
+    for text, name in tags(page):
+        take(text)
+        closing = name.startswith("/")
+        name = name.removeprefix("/")
+        if not name:
+            parts.append(" ")
+            continue
         if name == "br":
             parts.append(" ")
             state["breaks"] += 1
             if state["breaks"] == 2:  # two line breaks end a paragraph
                 flush()
             continue
-        if name:
-            state["breaks"] = 0 if name in _BLOCK else state["breaks"]
+        state["breaks"] = 0 if name in _BLOCK else state["breaks"]
         if name == "a":
             state["link"] = 0 if closing else 1
         elif name in _BLOCK:
@@ -87,7 +147,6 @@ def blocks(page: str | None) -> list[tuple[str, int, bool, bool]]:
                 state["heading"] = not closing
             if name in _FURNITURE:
                 state["outside"] = max(0, state["outside"] + (-1 if closing else 1))
-    take(page[at:])
     flush()
     return out
 
@@ -159,8 +218,7 @@ def extract(page: str | None) -> tuple[str, str, int, int]:
         kinds = ["good" if k == "neargood" else k for k in kinds]
     labels = revise(kinds, [h for _, _, h, _ in bs], [len(t) for t, *_ in bs])
     good = [t for (t, *_), k in zip(bs, labels) if k == "good"]
-    title = _TITLE.search(page) if page else None
-    return (" ".join(html.unescape(title.group(1)).split()) if title else ""), "\n".join(good), len(bs), len(good)
+    return page_title(page), "\n".join(good), len(bs), len(good)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
