@@ -218,7 +218,7 @@ TIE = ["l_partkey", "l_orderkey", "l_linenumber", "source_path", "package_name"]
 
 @query(f"select repo_id, technology_id, evidence_type, confidence, scope, package_name from evidence where technology_id is not null qualify row_number() over (partition by repo_id, technology_id order by {RANKS}, {', '.join(TIE)}) = 1")
 def q_edges_argmax(t):
-    return E.strongest(t.evidence, TIE).select("repo_id", "technology_id", "evidence_type", "confidence", "scope", "package_name")
+    return E.strongest(t.evidence, E.nulls_last(TIE)).select("repo_id", "technology_id", "evidence_type", "confidence", "scope", "package_name")
 
 
 @query(f"select repo_id, package_name, source_path, scope, evidence_type from evidence qualify row_number() over (partition by repo_id, package_name, source_path, scope order by case evidence_type when 'manifest' then 3 when 'sbom' then 2 else 0 end desc, case scope when 'runtime' then 2 when 'optional' then 1 else 0 end desc, {', '.join(TIE)}, technology_id) = 1")

@@ -25,16 +25,21 @@ def evidence_order() -> list[Column]:
     return [ranked(F.col("evidence_type"), KIND_RANK).desc(), ranked(F.col("confidence"), CONFIDENCE_RANK).desc(), ranked(F.col("scope"), SCOPE_RANK).desc()]
 
 
-def strongest(evidence: DataFrame, tie: list[str]) -> DataFrame:
-    """WIN-01: the strongest evidence of each repository and technology; ties by the columns of `tie`."""
-    return first_of(evidence.filter("technology_id is not null"), ["repo_id", "technology_id"], [*evidence_order(), *map(F.col, tie)])
+def strongest(evidence: DataFrame, tie: list[str] | list[Column]) -> DataFrame:
+    """WIN-01: the strongest evidence of each repository and technology; ties by the columns of `tie`, names with nulls first."""
+    return first_of(evidence.filter("technology_id is not null"), ["repo_id", "technology_id"], [*evidence_order(), *[F.col(c) if isinstance(c, str) else c for c in tie]])
+
+
+def nulls_last(names: list[str]) -> list[Column]:
+    """Ascending with nulls last, as an ORDER BY of DuckDB has them; Spark's own default is nulls first."""
+    return [F.col(c).asc_nulls_last() for c in names]
 
 
 def distinct_dependencies(evidence: DataFrame, tie: list[str]) -> DataFrame:
-    """WIN-02: one dependency for each package, path and scope: manifests before SBOMs before others."""
+    """WIN-02: one dependency for each package, path and scope: manifests before SBOMs before others; ties by the columns of `tie`, nulls last, then by kind."""
     kind = F.when(F.col("evidence_type") == "manifest", 3).when(F.col("evidence_type") == "sbom", 2).otherwise(0)
     scope = F.when(F.col("scope") == "runtime", 2).when(F.col("scope") == "optional", 1).otherwise(0)
-    return first_of(evidence, ["repo_id", "package_name", "source_path", "scope"], [kind.desc(), scope.desc(), *map(F.col, tie)])
+    return first_of(evidence, ["repo_id", "package_name", "source_path", "scope"], [kind.desc(), scope.desc(), *nulls_last([*tie, "evidence_type"])])
 
 
 def last_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
