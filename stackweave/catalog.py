@@ -690,16 +690,22 @@ def q_last_purl(t):
 FGRAPH = f"{FAMS}, fe as (select distinct family, repo_id from fam where repo_id in (select repo_id from missing) and family in (select family from fams)), fg as (select a.family as \"left\", b.family as \"right\", count(*) as weight from fe a join fe b on a.repo_id = b.repo_id and a.family < b.family group by all)"
 
 
+def _families(t):
+    """The families and their graph, from decisions and repositories with an edge that are computed once."""
+    decisions = G.kept(t.decisions.select("repo_id", "stars", "passed_major"), "decisions")
+    covered = G.kept(t.edges.select("repo_id").distinct(), "covered")
+    fams = G.kept(Q.families(t.evidence, decisions, covered), "families")
+    return fams, D.family_graph(t.evidence, decisions, covered, D.retained(fams, 20))
+
+
 @query(f"with {FGRAPH} select * from fg")
 def q_family_graph(t):
-    fams = Q.families(t.evidence, t.decisions, t.edges)
-    return D.family_graph(t.evidence, t.decisions, t.edges, D.retained(fams, 20))
+    return _families(t)[1]
 
 
 @query()
 def q_discovery_report(t):
-    fams = Q.families(t.evidence, t.decisions, t.edges)
-    return D.discovery_report(fams, D.family_graph(t.evidence, t.decisions, t.edges, D.retained(fams, 20)))
+    return D.discovery_report(*_families(t))
 
 
 ENT = "links as (select s_suppkey as technology_id, 'n' || cast(s_nationkey as varchar) as entity_id from supplier), stew as (select repo_id, 'n' || cast(org_id as varchar) as entity_id from repos where repo_id % 3 = 0)"

@@ -9,6 +9,7 @@ from __future__ import annotations
 import heapq
 import re
 import tempfile
+import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -58,6 +59,13 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: what is used several times is computed once."""
+    path = f"{shared_folder(df.sparkSession)}/stackweave/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """GRA-04: (node, component): the least node that each is connected with, by label spreading and pointer jumping; each round is checkpointed."""
     shared_folder(nodes.sparkSession)

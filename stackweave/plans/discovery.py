@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.stats import anchor_multiplier, first_of, max_normalized, priority, top_per_group
-from ..operators.graph import MAX_NODES, both_ways, centralities, degrees
+from ..operators.graph import MAX_NODES, both_ways, centralities, degrees, kept
 from ..operators.resolve import pairs
 from .reports import family_priority, finals, missing_edges
 
@@ -31,7 +31,11 @@ def family_graph(evidence: DataFrame, decisions: DataFrame, edges: DataFrame, ke
 
 
 def discovery_report(fams: DataFrame, graph: DataFrame, overlap: DataFrame | None = None) -> DataFrame:
-    """REP-04, MAT-05, MAT-06: families by weighted priority; centralities count where the graph is small enough for the kernel."""
+    """REP-04, MAT-05, MAT-06: families by weighted priority; centralities count where the graph is small enough for the kernel.
+
+    Families and graph are used several times: both are kept, so that the evidence is read once for each.
+    """
+    fams, graph = kept(fams, "families"), kept(graph, "graph")
     nodes = both_ways(graph).select("left").distinct().limit(MAX_NODES + 1).count()
     deg = degrees(graph, nodes).select(F.col("node").alias("family"), F.col("strength").alias("degree"))
     joined = fams.join(deg, "family", "left")
