@@ -721,20 +721,19 @@ def q_entity_report(t):
 VENDOR = f"{MISSING}, vterms as (select distinct term from (select unnest(string_split_regex(lower(s_name), '[@/_. -]+')) as term from supplier union all select 'customer-0000000' || cast(n_nationkey % 10 as varchar) from nation) where length(term) >= 4 and term not in ('open', 'tool')), vend as (select repo_id, full_name, stars, string_agg(distinct term, ',' order by term) as terms from missing join vterms on contains(lower(full_name), term) group by all)"
 
 
-def _vendors(t):
+def _vendor_terms(t):
     names = t.supplier.select(F.col("s_name").alias("name"))
-    terms = Q.vendor_terms(names, ("open", "tool")).unionByName(t.nation.select(F.concat(F.lit("customer-0000000"), (F.col("n_nationkey") % 10).cast("string")).alias("term")).distinct())
-    return D.vendor_like(t.repos, t.decisions, t.edges, terms)
+    return Q.vendor_terms(names, ("open", "tool")).unionByName(t.nation.select(F.concat(F.lit("customer-0000000"), (F.col("n_nationkey") % 10).cast("string")).alias("term")).distinct())
 
 
 @query(f"with {VENDOR} select * from vend")
 def q_vendor_like(t):
-    return _vendors(t).withColumn("terms", F.array_join("terms", ","))
+    return D.vendor_like(t.repos, t.decisions, t.edges, _vendor_terms(t)).withColumn("terms", F.array_join("terms", ","))
 
 
 @query(f"with {VENDOR}, {UNMATCHED}, p as (select {PREFIX('package_name')} as prefix, count(*) as n from unmatched group by 1), x as (select 'prefix' as kind, prefix as name, n * 10 as weight from p union all select 'repo', full_name, stars from vend) select * from x order by weight desc, kind, name limit 25")
 def q_suggested_inputs(t):
-    return D.suggested_inputs(Q.unmatched_prefixes(t.evidence, t.repos), _vendors(t), 25)
+    return D.suggested_inputs(Q.unmatched_prefixes(t.evidence, t.repos), D.vendors(t.decisions, t.edges, _vendor_terms(t)), 25)
 
 
 @query("select repo_id, stars from repos order by case when repo_id % 30 = 0 then 0 else 1 end, stars desc, repo_id limit 70")

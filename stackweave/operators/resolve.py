@@ -89,16 +89,17 @@ def infer_provider(packages: DataFrame, lookup: DataFrame) -> DataFrame:
 def contained_terms(rows: DataFrame, terms: DataFrame, hay: str) -> DataFrame:
     """JOI-10: rows with the sorted terms that their text holds.
 
-    An equi-join: each distinct text's parts of the lengths that terms have are joined with the terms, so the work grows with the
-    texts and not with their number times that of the terms.  Terms are broadcast only if counted to be few.
+    An equi-join: each text's parts of the lengths that terms have are joined with the terms, so the work grows with the texts and
+    not with their number times that of the terms.  Terms are broadcast only if counted to be few.  The rows go along with their
+    parts, so what they come from is computed once; equal rows become one.
     """
     n, sizes = terms.agg(F.count("term"), F.sort_array(F.collect_set(F.length("term")))).first()
-    side = terms.select("term").distinct()
+    side = terms.select(F.col("term").alias("__sw_term")).distinct()
     text, size = F.col("__sw_text"), F.col("__sw_size")
-    sized = rows.select(F.lower(hay).alias("__sw_text")).distinct().select("__sw_text", F.explode(F.lit(sizes).cast("array<int>")).alias("__sw_size")).filter(size <= F.length(text))
-    parts = sized.select("__sw_text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substr(text, i, size)))).alias("term"))
-    hits = parts.join(F.broadcast(side) if n <= 10_000 else side, "term").groupBy("__sw_text").agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    return rows.distinct().join(hits, F.lower(hay) == text).select(*rows.columns, "terms")
+    sized = rows.withColumn("__sw_text", F.lower(hay)).select("*", F.explode(F.lit(sizes).cast("array<int>")).alias("__sw_size")).filter(size <= F.length(text))
+    parts = sized.select(*rows.columns, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substr(text, i, size)))).alias("__sw_term"))
+    hits = parts.join(F.broadcast(side) if n <= 10_000 else side, "__sw_term")
+    return hits.groupBy(*rows.columns).agg(F.array_sort(F.collect_set("__sw_term")).alias("terms"))
 
 
 def identity_match(repos: DataFrame, registry: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -66,12 +66,16 @@ def entity_report(entities: DataFrame, stewards: DataFrame, edges: DataFrame) ->
     return out.fillna(0)
 
 
-def vendor_like(repos: DataFrame, decisions: DataFrame, edges: DataFrame, terms: DataFrame) -> DataFrame:
-    """TOP-03: finals without an edge whose name holds a vendor's term, most stars first."""
+def vendors(decisions: DataFrame, edges: DataFrame, terms: DataFrame) -> DataFrame:
+    """Finals without an edge whose name holds a vendor's term, in no order."""
     from ..operators.resolve import contained_terms
 
-    rows = missing_edges(decisions, edges).select("repo_id", "full_name", "stars")
-    return contained_terms(rows, terms, "full_name").orderBy(F.col("stars").desc(), "full_name")
+    return contained_terms(missing_edges(decisions, edges).select("repo_id", "full_name", "stars"), terms, "full_name")
+
+
+def vendor_like(repos: DataFrame, decisions: DataFrame, edges: DataFrame, terms: DataFrame) -> DataFrame:
+    """TOP-03: finals without an edge whose name holds a vendor's term, most stars first."""
+    return vendors(decisions, edges, terms).orderBy(F.col("stars").desc(), "full_name")
 
 
 def suggested_inputs(prefixes: DataFrame, vendors: DataFrame, n: int) -> DataFrame:
